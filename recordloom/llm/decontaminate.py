@@ -68,22 +68,31 @@ def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MAX_BROADCAST_FINGERPRINTS else df
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hit_positions(dw: Column, dg: Column, iw: Column, ig: Column, anchors: Column, span: int) -> Column:
     """Positions of document words inside a window of the item: extension of every shared gram along its diagonal."""
     n_item = F.size(iw)
     need = F.least(F.lit(span), n_item)
-    p_at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(dg) - 1, F.lit(0))), lambda p: F.array_contains(anchors, F.get(dg, p)))
-    q_at = F.filter(F.sequence(F.lit(0), F.size(ig) - 1), lambda q: F.array_contains(anchors, F.get(ig, q)))
-    diagonals = F.array_distinct(
-        F.flatten(F.transform(p_at, lambda p: F.transform(F.filter(q_at, lambda q: F.get(ig, q) == F.get(dg, p)), lambda q: p - q)))
-    )
+    p_at = F.filter(F.transform(dg, lambda g, p: F.struct(g.alias("g"), p.alias("p"))), lambda x: F.array_contains(anchors, x["g"]))
+    q_at = F.filter(F.transform(ig, lambda g, q: F.struct(g.alias("g"), q.alias("q"))), lambda x: F.array_contains(anchors, x["g"]))
+
+    def diagonals(qs: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(p_at, lambda x: F.transform(F.filter(qs, lambda y: y["g"] == x["g"]), lambda y: x["p"] - y["q"]))))
 
     def run(d: Column) -> Column:
-        same = F.array_join(F.transform(iw, lambda w, i: F.when(w.eqNullSafe(F.when(d + i >= 0, F.get(dw, d + i))), F.lit("1")).otherwise(F.lit("0"))), "")
-        starts = F.filter(F.sequence(F.lit(0), n_item - need), lambda i: F.substr(same, i + 1, need) == F.repeat(F.lit("1"), need))
-        return F.flatten(F.transform(starts, lambda i: F.sequence(d + i, d + i + need - 1)))
+        same = F.array_join(F.transform(iw, lambda w, i: F.when((d + i >= 0) & w.eqNullSafe(F.get(dw, d + i)), F.lit("1")).otherwise(F.lit("0"))), "")
+
+        def spans(flags: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), n_item - need), lambda i: F.substr(flags, i + 1, need) == F.repeat(F.lit("1"), need))
+            return F.flatten(F.transform(starts, lambda i: F.sequence(d + i, d + i + need - 1)))
+
+        return _let(same, spans)
 
-    return F.array_distinct(F.flatten(F.transform(diagonals, run)))
+    return F.array_distinct(F.flatten(F.transform(_let(q_at, diagonals), run)))
 
 
 def decontaminate(
@@ -100,7 +109,7 @@ def decontaminate(
     hashed = tokens.select("doc_id", "th", word_hashes(F.col("dw")).alias("hw"))
     proposals = []
     if n_long:
-        f = hashed.filter(F.size("hw") >= span).select("doc_id", "th", grams(F.col("hw")).alias("g"))
+        f = hashed.select("doc_id", "th", grams(F.col("hw")).alias("g"))
         f = f.select("doc_id", "th", F.explode(fingerprints(F.col("g"), span)).alias("h"))
         proposals.append(f.join(_maybe_broadcast(index.filter("NOT short"), n_long), "h"))
     if n_short:
@@ -125,10 +134,10 @@ def decontaminate(
         )
         joined = joined.withColumn("hw", word_hashes(F.col("dw"))).withColumn("dg", F.when(F.col("short"), F.col("hw")).otherwise(grams(F.col("hw"))))
         at = joined.select("doc_id", "th", "item_id", hit_positions(F.col("dw"), F.col("dg"), F.col("iw"), F.col("g"), F.col("anchors"), span).alias("at"))
-        found = (
-            at.filter(F.size("at") > 0)
-            .groupBy("doc_id", "th")
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_at"), F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("item_ids"))
+        # No filter on a computed array here: it would be pushed below the projections and compute them again and again.
+        found = at.groupBy("doc_id", "th").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_at"),
+            F.array_sort(F.collect_set(F.when(F.size("at") > 0, F.coalesce("item_id", F.lit(""))))).alias("item_ids"),
         )
         j = counted.join(found, on=[counted.doc_id.eqNullSafe(found.doc_id), counted.th == found.th], how="left")
         out = j.select(
