@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; it is installed on every machine and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class KeyFilter:
     """A one-hash Bloom filter of `keys` (a long column), built and probed with built-in functions only.
 

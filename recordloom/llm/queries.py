@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import table
+from recordloom.llm.common import table, tokenizer_path
 from recordloom.llm.decontaminate import decontaminate
 from recordloom.llm.exact_dedup import exact_dedup
 from recordloom.llm.sharding import shard
+from recordloom.llm.token_counts import token_counts
 from recordloom.llm.url_filter import filter_urls, parse_rule
 
 #: The rules that the contract of op5 states.
@@ -35,6 +36,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document by piece_bpe_32k.model."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its equal texts (the largest doc_id)."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
