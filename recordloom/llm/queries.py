@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import table, tokenizer_path
 from recordloom.llm.decontaminate import decontaminate
 from recordloom.llm.exact_dedup import exact_dedup
+from recordloom.llm.sentencepiece_codec import encode
 from recordloom.llm.sharding import shard
 from recordloom.llm.token_counts import token_counts
 from recordloom.llm.url_filter import filter_urls, parse_rule
@@ -18,6 +19,12 @@ from recordloom.llm.url_filter import filter_urls, parse_rule
 URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the rebuilt tokenizer, decoded again and held against the sentencepiece library."""
+    out = encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), parity=True)
+    return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip", "parity")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by URL_RULES; what no rule fits is allowed."""
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), [parse_rule(x) for x in URL_RULES])
@@ -47,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_url_filter": op5_url_filter,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
