@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm import toxicity
 from recordloom.llm.common import table, tokenizer_path
 from recordloom.llm.decontaminate import decontaminate
 from recordloom.llm.exact_dedup import exact_dedup
 from recordloom.llm.sentencepiece_codec import encode
 from recordloom.llm.sharding import shard
 from recordloom.llm.token_counts import token_counts
+
 from recordloom.llm.url_filter import filter_urls, parse_rule
 
 #: The rules that the contract of op5 states.
@@ -25,6 +27,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip", "parity")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document by a model of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "severity", "p_toxic", F.col("toxic_pred").alias("toxic"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by URL_RULES; what no rule fits is allowed."""
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), [parse_rule(x) for x in URL_RULES])
@@ -55,6 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_toxicity": op3_toxicity,
     "op5_url_filter": op5_url_filter,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
