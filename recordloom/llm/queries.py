@@ -11,6 +11,7 @@ from recordloom.llm import toxicity
 from recordloom.llm.common import table, tokenizer_path
 from recordloom.llm.decontaminate import decontaminate
 from recordloom.llm.exact_dedup import exact_dedup
+from recordloom.llm.html_extract import extract_pages, fit_pages
 from recordloom.llm.sentencepiece_codec import encode
 from recordloom.llm.sharding import shard
 from recordloom.llm.token_counts import token_counts
@@ -34,6 +35,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "severity", "p_toxic", F.col("toxic_pred").alias("toxic"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return extract_pages(pages.select("page_id", "url", "html"), fit_pages(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by URL_RULES; what no rule fits is allowed."""
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), [parse_rule(x) for x in URL_RULES])
@@ -65,6 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
+    "op4_html_extract": op4_html_extract,
     "op5_url_filter": op5_url_filter,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
