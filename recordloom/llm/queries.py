@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import toxicity
+from recordloom.llm.chat_format import link
 from recordloom.llm.common import table, tokenizer_path
 from recordloom.llm.decontaminate import decontaminate
 from recordloom.llm.exact_dedup import exact_dedup
@@ -47,6 +48,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Tools that the conversations may call.
+TOOLS = {"search": (["query"], {"query": "string", "limit": "integer"}), "calculate": (["expression"], {"expression": "string"})}
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a canonical message with its links and its place in the order."""
+    return link(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards with counts at most one apart."""
     out = shard(table(spark, sf_dir, "documents"), shards=8)
@@ -74,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_html_extract": op4_html_extract,
     "op5_url_filter": op5_url_filter,
+    "op6_chat_format": op6_chat_format,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
