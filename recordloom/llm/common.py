@@ -42,15 +42,19 @@ class KeyFilter:
         return F.xxhash64(key).bitwiseAND((1 << self.log2) - 1)
 
     def maybe(self, df: DataFrame, key: str) -> DataFrame:
+        return self.mark(df, key, "_maybe").filter("_maybe").drop("_maybe")
+
+    def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with a boolean: whether the key may be in the filter."""
         slot = self._slot(F.col(key))
         pos = slot.bitwiseAND(PAGE_BITS - 1)
         at = F.shiftright(pos, 3).cast("int")
-        byte = F.conv(F.hex(F.substring("_bits", at + 1, F.lit(1))), 16, 10)
+        byte = F.conv(F.hex(F.substring("_bits", at + 1, F.lit(1))), 16, 10).cast("bigint")
         return (
             df.withColumn("_page", F.shiftright(slot, 15))
-            .join(F.broadcast(self.pages), "_page")
-            .withColumn("_byte", byte.cast("bigint"))
+            .join(F.broadcast(self.pages), "_page", "left")
+            .withColumn("_byte", byte)
             .withColumn("_pos", pos.bitwiseAND(7).cast("int"))
-            .filter(F.expr("getbit(_byte, _pos) = 1"))
+            .withColumn(name, F.coalesce(F.expr("getbit(_byte, _pos) = 1"), F.lit(False)))
             .drop("_page", "_bits", "_byte", "_pos")
         )

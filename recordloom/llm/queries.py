@@ -13,6 +13,7 @@ from recordloom.llm.common import table, tokenizer_path
 from recordloom.llm.decontaminate import decontaminate
 from recordloom.llm.exact_dedup import exact_dedup
 from recordloom.llm.html_extract import extract_pages, fit_pages
+from recordloom.llm.near_dedup import near_duplicates
 from recordloom.llm.sentencepiece_codec import encode
 from recordloom.llm.sharding import shard
 from recordloom.llm.token_counts import token_counts
@@ -23,6 +24,12 @@ from recordloom.llm.url_filter import filter_urls, parse_rule
 URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of equal texts and its group of near duplicates (similarity of 0.8 or more); the smallest id stays."""
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", F.col("component").alias("cluster_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the rebuilt tokenizer, decoded again and held against the sentencepiece library."""
     out = encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), parity=True)
@@ -80,6 +87,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_html_extract": op4_html_extract,
