@@ -109,13 +109,16 @@ def conflicts(stored: dict[str, Column], reads: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(bad(stored[k], reads[k]), F.lit(k)) for k in stored]))
 
 
+def _named(names: list[str]):
+    return lambda e: e["key"].isin(names)
+
+
 def canonical_fields(m: Column) -> Column:
     """map of canonical field to the first value, in the order of the map, that is not empty."""
     entries = F.map_entries(m)
     pairs = []
     for field in FIELDS:
-        names = F.array(*[F.lit(x) for x in [field, *ALIASES.get(field, [])]])
-        own = F.filter(entries, lambda e, names=names: F.array_contains(names, e["key"]))
+        own = F.filter(entries, _named([field, *ALIASES.get(field, [])]))
         full = F.filter(own, lambda e: F.coalesce(e["value"], F.lit("")) != "")
         value = F.coalesce(F.get(full, F.lit(0))["value"], F.get(F.reverse(own), F.lit(0))["value"])
         pairs.append(F.when(F.size(own) > 0, F.struct(F.lit(field).alias("key"), value.alias("value"))))

@@ -32,6 +32,28 @@ def within(a: Column, b: Column, most: int) -> Column:
     return F.levenshtein(a, b, most).between(0, most)
 
 
+def deletions(c: Column) -> Column:
+    """Distinct strings that arise from deleting up to two characters."""
+
+    def one(s: Column) -> Column:
+        n = F.length(s)
+        return F.when(n == 0, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1))))
+
+    return F.array_distinct(F.concat(F.array(c), one(c), F.flatten(F.transform(one(c), one))))
+
+
+def edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r, distance) at edit distance 0 to 2, over (id, value) frames.
+
+    Two strings within two edits share a string that both become by up to two deletions, so an equi-join on those finds all
+    candidates and no cross join is needed.
+    """
+    a = left.select(F.col("id").alias("l"), F.col("value").alias("vl"), F.explode(deletions(F.col("value"))).alias("k"))
+    b = right.select(F.col("id").alias("r"), F.col("value").alias("vr"), F.explode(deletions(F.col("value"))).alias("k"))
+    pairs = a.join(b, "k").select("l", "r", "vl", "vr").distinct()
+    return pairs.filter(within(F.col("vl"), F.col("vr"), 2)).select("l", "r", F.levenshtein("vl", "vr").alias("distance"))
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, in the JVM; for short strings."""
     chars = F.filter(F.split(a, ""), lambda x: x != "")
