@@ -21,7 +21,9 @@ def test_parity_with_the_library(text):
     if "\x00" in text or any(0xD800 <= ord(c) < 0xE000 for c in text):
         return
     ids = C.encode_texts(MODEL, [text])[0]
-    assert ids == SP.encode(text)
+    assert ids == SP.encode(text) == C.tokenizer(MODEL).encode(text, add_special_tokens=False).ids
+    _, back, same = C._codec_slice(MODEL, [text], parity=True)
+    assert same == [True] and back == [C.decode_ids(MODEL, [ids])[0] == text]
     if "▁" not in text:
         assert C.decode_ids(MODEL, [ids])[0] == text
 
