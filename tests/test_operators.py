@@ -101,3 +101,10 @@ def test_scripts_and_config(tmp_path):
     sql = "-- a; b\nCREATE TABLE x (a int); INSERT INTO x VALUES (';'); DO $t$ a; b $t$;\n"
     assert list(readers.split_statements(sql)) == ["CREATE TABLE x (a int)", "INSERT INTO x VALUES (';')", "DO $t$ a; b $t$"]
     assert readers.env_config({"A": "1", "B": "x, y"}, {"A": "2"}) == {"A": "2", "B": ["x", "y"]}
+
+
+def test_markdown(spark):
+    from recordloom.operators.report import markdown
+
+    df = spark.createDataFrame([("a|b", 0.5, None), ("c", 2.0, 3)], "k string, v double, n int")
+    assert markdown(df) == "| k | v | n |\n|-|-|-|\n| a\\|b | 0.5 | n/a |\n| c | 2 | 3 |\n"
