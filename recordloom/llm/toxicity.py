@@ -68,18 +68,17 @@ class OrdinalModel:
         return float(p.sum()), float(p[0])
 
 
-def fit_ordinal(rows: list[list[tuple[int, float]]], grades: np.ndarray, n_features: int, grades_max: int = GRADES, l2: float = 0.02, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and rising cuts by full-batch Adam on the cumulative-link likelihood."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.array([c for r in rows for c, _ in r], dtype=np.int64)
-    val = np.array([v for r in rows for _, v in r], dtype=np.float64)
-    n = max(1, len(rows))
+def fit_ordinal(
+    at: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, n_features: int, grades_max: int = GRADES, l2: float = 0.02, steps: int = 400
+) -> tuple[np.ndarray, np.ndarray]:
+    """Shared weights and rising cuts by full-batch Adam on the cumulative-link likelihood; (at, col, val) are the sparse rows."""
+    n = max(1, len(grades))
     w = np.zeros(n_features)
     first, gaps = np.array([2.0]), np.zeros(max(0, grades_max - 1))
     state = [np.zeros(n_features + grades_max), np.zeros(n_features + grades_max)]
     for step in range(1, steps + 1):
         cuts = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        z = np.bincount(at, val * w[col], minlength=len(rows))[:, None]
+        z = np.bincount(at, val * w[col], minlength=len(grades))[:, None]
         # Likelihood of the cumulative indicators [grade >= k], which share w.
         p = 1 / (1 + np.exp(np.clip(cuts[None, :] - z, -50, 50)))
         y = grades[:, None] >= np.arange(1, grades_max + 1)[None, :]
@@ -145,9 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 grades.append((1 + sum(hits > s for s in GRADE_STEPS)) if toxic else 0)
             yield pd.DataFrame({"i": ids, "v": values, "grade": grades})
 
-    got = sample.select("text", "toxic").mapInPandas(vectors, "i array<int>, v array<double>, grade int").toPandas()
-    rows = [list(zip(map(int, i), map(float, v), strict=True)) for i, v in zip(got.i, got.v, strict=True)]
-    weights, cuts = fit_ordinal(rows, got.grade.to_numpy(), len(vocabulary))
+    got = sample.select("text", "toxic").mapInPandas(vectors, "i array<int>, v array<float>, grade int").toPandas()
+    sizes = got.i.map(len).to_numpy()
+    col, val = (np.concatenate([*got[c], np.zeros(0)]) for c in "iv")
+    weights, cuts = fit_ordinal(np.repeat(np.arange(len(got)), sizes), col.astype(np.int64), val, got.grade.to_numpy(), len(vocabulary))
     return OrdinalModel(vocabulary, weights, cuts)
 
 

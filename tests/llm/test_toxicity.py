@@ -18,8 +18,7 @@ def _docs(n=400):
 
 def test_ordered_thresholds_share_weights():
     grades = np.array([0, 1, 2, 3] * 50)
-    rows = [[(0, float(g))] for g in grades]
-    w, cuts = T.fit_ordinal(rows, grades, 1)
+    w, cuts = T.fit_ordinal(np.arange(200), np.zeros(200, np.int64), grades.astype(float), grades, 1)
     assert w[0] > 0 and (np.diff(cuts) > 0).all()
     pred = [(1 / (1 + np.exp(cuts - w[0] * g))).sum() for g in range(4)]
     assert np.allclose(pred, range(4), atol=0.35)
