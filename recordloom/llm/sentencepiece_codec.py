@@ -3,10 +3,13 @@
 `read_model` parses the protobuf of a .model file (wire format, the few fields needed), and `build` rebuilds
 the tokenizer from it: normaliser (the precompiled character map, if there is one), dummy prefix and space
 mark, unigram scores or - for BPE models - merges in the order of scores, and byte fallback.  Texts are encoded
-in batches by the library's own threads, each whole text as one sequence.
+in batches by the library's own threads.  If no piece has the space mark or a line feed behind another character (read
+off the vocabulary) and texts are not normalised, no token can reach over the start of a word; then words are
+encoded once, in batches, and remembered, up to MEMO of them.  Otherwise each text is one sequence.
 
-Parity: `encode` also encodes every text with the sentencepiece library when asked to, and reports equality;
-whatever that says, each text is decoded again and compared.
+Parity: when asked to, `encode` also encodes with the sentencepiece library and reports equality for every text -
+of each of its words, where words are independent (then that of the text follows), else of the text as one.
+Whatever that says, each whole text is decoded again (by its words, likewise) and compared.
 
 Round trips: a literal space mark in a text decodes to a space, as in the library itself; `round_trip` says so.
 
@@ -16,11 +19,14 @@ table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +36,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters that go to the tokenizer at once; bounds the memory of a batch.
-BATCH_CHARS = 500_000
+BATCH_CHARS = 200_000
+#: Words that a worker remembers.
+MEMO = 500_000
 
 
 @dataclass
@@ -177,9 +185,74 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
+@lru_cache(maxsize=4)
+def _word_encoder(path: str):
+    """The tokenizer for single words (no normaliser, no blank stripped), if words are independent of each other; else None."""
+    from tokenizers import decoders
+
+    m = read_model(path)
+    joined = any(MARK in p.lstrip(MARK) or ("\n" in p and p != "\n") for p, _, k in m.pieces if k != BYTE)
+    own = any(k == USER_DEFINED for _, _, k in m.pieces)
+    if joined or own or m.charsmap or m.remove_extra_whitespaces or not m.add_dummy_prefix or m.kind != BPE:
+        return None
+    t = build(m)
+    t.normalizer = None
+    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+    return t
+
+
+_WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+@dataclass
+class _Memo:
+    """Words with their ids and what these decode to, and the words on which the two libraries differ."""
+
+    ids: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    text: dict[str, str] = field(default_factory=dict)
+    odd: set[str] = field(default_factory=set)
+
+
+_MEMOS: dict[tuple[str, bool], _Memo] = {}
+
+
+def _learn(path: str, t, memo: _Memo, new: list[str], parity: bool) -> None:
+    """Encode and decode new words, all in one sequence with line feeds between them, which no token reaches over."""
+    if "\n" not in memo.ids:
+        memo.ids["\n"], memo.text["\n"] = tuple(t.encode("\n", add_special_tokens=False).ids), "\n"
+    feed = memo.ids["\n"][-1]
+    new = [w for w in new if w != "\n"]
+    text = MARK + "\n" + "".join(w + "\n" for w in new)
+    ids = np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+    at = np.flatnonzero(ids == feed)
+    got = [tuple(x) for x in (ids[i + 1 : j].tolist() for i, j in zip(at[:-1], at[1:], strict=True))]
+    memo.ids.update(zip(new, got, strict=True))
+    memo.text.update(zip(new, t.decode(ids[at[0] + 1 :].tolist(), skip_special_tokens=False).split("\n")[:-1], strict=True))
+    if parity:
+        theirs = np.array(_reference(path).encode(text[1:].replace(MARK, " ")), dtype=np.int32)
+        if not np.array_equal(theirs, ids):
+            its = np.flatnonzero(theirs == feed)
+            memo.odd.update(w for w, i, j, x in zip(new, its[:-1], its[1:], got, strict=True) if tuple(theirs[i + 1 : j].tolist()) != x)
+
+
+def _codec_slice(path: str, texts: list[str], parity: bool = False) -> tuple[list[list[int]], list[bool], list[bool]]:
+    """Of each text its ids, whether they decode to it, and whether the sentencepiece library gives the same ids."""
+    t = _word_encoder(path)
+    if t is None:
+        ids = [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+        same = [x == y for x, y in zip(_reference(path).encode(texts, num_threads=1), ids, strict=True)] if parity else []
+        return ids, [x == y for x, y in zip(decode_ids(path, ids), texts, strict=True)], same
+    memo = _MEMOS.setdefault((path, parity), _Memo())
+    if len(memo.ids) > MEMO:
+        memo.__init__()
+    words = [_WORDS.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
+    _learn(path, t, memo, list(set(chain.from_iterable(words)).difference(memo.ids)), parity)
+    # A text decodes to its decoded words without the first blank, which stands for the dummy prefix.
+    back = ["".join(map(memo.text.__getitem__, ws))[1:] == x for ws, x in zip(words, texts, strict=True)]
+    same = [not memo.odd or memo.odd.isdisjoint(ws) for ws in words] if parity else []
+    return [list(chain.from_iterable(map(memo.ids.__getitem__, ws))) for ws in words], back, same
+
+
 def encode_texts(path: str, texts: list[str]) -> list[list[int]]:
-    t = tokenizer(path)
-    return [e.ids for s in _slices(texts) for e in t.encode_batch_fast(s, add_special_tokens=False)]
+    return [ids for s in _slices(texts) for ids in _codec_slice(path, s)[0]]
 
 
 def decode_ids(path: str, ids: list[list[int]]) -> list[str]:
@@ -189,19 +262,25 @@ def decode_ids(path: str, ids: list[list[int]]) -> list[str]:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", parity: bool = False) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (decoding gives the text) and parity (equals the sentencepiece library; null if not asked for)."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            ids, trip, same = [], [], []
-            for s in _slices(texts.tolist()):
-                got = [e.ids for e in tokenizer(path).encode_batch_fast(s, add_special_tokens=False)]
-                ids += got
-                trip += [a == b for a, b in zip(decode_ids(path, got), s, strict=True)]
-                same += [a == b for a, b in zip(_reference(path).encode(s, num_threads=1), got, strict=True)] if parity else [None] * len(s)
-            yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": trip, "parity": pd.array(same, dtype="boolean")})
-
-    codec = F.pandas_udf(run, "ids array<int>, n_tokens bigint, round_trip boolean, parity boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = 0
+            # Ids leave as arrays, slice by slice: a batch as lists of numbers would take gigabytes.
+            for s in _slices(b.text.tolist()):
+                ids, trip, same = _codec_slice(path, s, parity)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": b.doc_id.iloc[at : at + len(s)].to_numpy(),
+                        "ids": [np.array(x, dtype=np.int32) for x in ids],
+                        "n_tokens": [len(x) for x in ids],
+                        "round_trip": trip,
+                        "parity": pd.array(same or [None] * len(s), dtype="boolean"),
+                    }
+                )
+                at += len(s)
+
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("_c", codec("text")).select("doc_id", "_c.*")
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens bigint, round_trip boolean, parity boolean")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
