@@ -3,7 +3,8 @@
 A page is read as a sequence of words and tags.  Words score positive and tags negative, both by weights that
 are fitted on labelled pages: pages of the table whose markup names its content by exactly one <article> or <main>
 are the labels, and the weights are learned for what else is known of a token - the innermost container around
-it (its tag and the words of class and id) - so they hold for pages without such an element.  One linear scan
+it (its tag and the words of class and id) - so they hold for pages without such an element.  Lists, tables and
+figures without a name have no weight of their own, so those of an article stay where most lists are menus.  One linear scan
 finds the contiguous region of the largest sum (the first of equal ones); if the markup itself names the content, that
 element bounds the scan.  In the region, containers of negative weight (menus, asides, adverts, comments,
 forms) are left out, and the rest is written block by block.
@@ -45,6 +46,8 @@ PRIOR_NAME = re.compile(
     r"(?:^|[-_ ])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo\w*|related|recommend\w*|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_ 0-9])"
 )
 LANDMARK = frozenset(["article", "main"])
+#: Elements that hold content and menus alike: without a name they say nothing of their own.
+NEUTRAL = frozenset("ul ol table figure details".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -161,7 +164,9 @@ def count(source: str) -> Counter | None:
         if p.text is None:
             c["<" + p.tag, bool(p.inside)] += 1
         if p.text is not None and n:
-            for k in set(p.contexts):
+            # Words in a container that speaks for itself are explained by it, and say nothing of the others around them.
+            spoken = {k for k in p.contexts if prior(k) < 0}
+            for k in spoken or set(p.contexts):
                 c[k, bool(p.inside)] += n
     return c
 
@@ -177,6 +182,9 @@ def fit(counts: dict[tuple[str, bool], int]) -> Weights:
         if key[0] == "<":
             w.tags[key[1:]] = max(-3.0, min(0.0, math.log((inside + 0.5) / (outside + 0.5))))
             continue
+        if key in NEUTRAL:
+            w.context[key] = 0.0
+            continue
         odds = math.log((inside + 0.5) / (outside + 0.5)) - math.log(words[0] / words[1])
         # What the markup says of itself stands against its place: an advert inside of an article is one still.
         w.context[key] = min(prior(key), max(-4.0, min(0.0, odds)) if inside < outside else 0.0)

@@ -40,6 +40,17 @@ def test_without_landmark_uses_learned_weights():
     assert H.extract(plain, w) == WANT.replace("& one", f"& one{filler}").replace("item one", f"item one{filler}").replace("two", f"two{filler}").replace("here.", f"here.{filler}")
 
 
+def test_lists_of_an_article_stay_where_most_lists_are_menus():
+    menu = "".join(f'<li><a href="/{i}">entry number {i}</a></li>' for i in range(40))
+    page = f"<body><nav><ul class='links'>{menu}</ul><ul>{menu}</ul><ol>{menu}</ol><table><tr><td>{menu}</td></tr></table><figure>{menu}</figure></nav><article><p>{{}}</p></article></body>"
+    counts = H.Counter()
+    for _ in range(30):
+        counts.update(H.count(page.format("Words of an article without any list in it, as most of them are. " * 5)))
+    w = H.fit(counts)
+    got = H.extract(page.format("Before.</p><ul><li>one</li></ul><ol><li>two</li></ol><ul class='links'><li>three</li></ul><table><tr><td>four</td></tr></table><figure>five</figure><p>After."), w)
+    assert got == "Before.\none\ntwo\nthree\nfour\nfive\nAfter."
+
+
 def test_broken_and_empty():
     w = H.Weights()
     assert H.extract(None, w) == H.extract("", w) == ""
