@@ -5,8 +5,9 @@ are fitted on labelled pages: pages of the table whose markup names its content
 are the labels, and the weights are learned for what else is known of a token - the innermost container around
 it (its tag and the words of class and id) - so they hold for pages without such an element.  Lists, tables and
 figures without a name have no weight of their own, so those of an article stay where most lists are menus.  One linear scan
-finds the contiguous region of the largest sum (the first of equal ones); if the markup itself names the content, that
-element bounds the scan.  In the region, containers of negative weight (menus, asides, adverts, comments,
+over all pieces finds the contiguous region of the largest sum (the first of equal ones).  An <article> or <main> is one
+more learned weight: it lightens what tags and insets cost inside of it, and a region pays for going on from its words to
+words outside, or back.  So the scan ends at the element unless more text than that stands outside.  In the region, containers of negative weight (menus, asides, adverts, comments,
 forms) are left out, and the rest is written block by block.
 
 Fitting reads at most about `max_pages` pages, chosen by a hash of the id; its result is a few hundred numbers.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 MAX_PAGES = 2_000
 #: The most that a run of words in containers of negative weight takes from a region around it.
 INSET_COST = 8.0
+#: The weight of a landmark at most, and the words that a region pays for each unit of it at a landmark's edge.
+LANDMARK_MOST, EDGE_WORDS = 4.0, 12.5
 #: Fixed values of HTML: elements without an end tag, elements whose content is no text, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea iframe svg math object select title head".split())
@@ -136,10 +139,11 @@ def prior(key: str) -> float:
 
 @dataclass
 class Weights:
-    """word and tag: base scores; context: what the containers that were seen add to a word; tags: the tags that were seen."""
+    """word and tag: base scores; landmark: what an <article> or <main> says; context: what the containers that were seen add to a word; tags: the tags that were seen."""
 
     word: float = 1.0
     tag: float = -1.0
+    landmark: float = LANDMARK_MOST
     context: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
@@ -166,6 +170,8 @@ def count(source: str) -> Counter | None:
         if p.text is not None and n:
             # Words in a container that speaks for itself are explained by it, and say nothing of the others around them.
             spoken = {k for k in p.contexts if prior(k) < 0}
+            if not spoken:
+                c["plain", bool(p.inside)] += n
             for k in spoken or set(p.contexts):
                 c[k, bool(p.inside)] += n
     return c
@@ -177,7 +183,9 @@ def fit(counts: dict[tuple[str, bool], int]) -> Weights:
     tags = counts.get(("tag", True), 0) + 1, counts.get(("tag", False), 0) + 1
     share = math.log(words[0] / sum(words)) - math.log(tags[0] / sum(tags))
     w = Weights(tag=-max(0.5, min(3.0, 1.0 + share)))
-    for key in {k for k, _ in counts if k not in ("word", "tag")}:
+    # Log odds of a word that no container speaks of, from LANDMARK_MOST before any page is seen.
+    w.landmark = max(0.0, min(LANDMARK_MOST, math.log((counts.get(("plain", True), 0) + math.exp(LANDMARK_MOST)) / (counts.get(("plain", False), 0) + 1))))
+    for key in {k for k, _ in counts if k not in ("word", "tag", "plain")}:
         inside, outside = counts.get((key, True), 0), counts.get((key, False), 0)
         if key[0] == "<":
             w.tags[key[1:]] = max(-3.0, min(0.0, math.log((inside + 0.5) / (outside + 0.5))))
@@ -207,22 +215,32 @@ def extract(source: str | None, weights: Weights) -> str:
     if not source:
         return ""
     page = parse(source)
-    pieces = [p for p in page.pieces if p.inside] if page.landmarks else page.pieces
+    pieces = page.pieces
     worth, spent = [], 0.0
-    for p in pieces:
+    edge, side = 0, None
+    for i, p in enumerate(pieces):
         word = weights.score(p.contexts)
         if word < 0:
             # A whole run of such words costs INSET_COST at most, so that an inset does not cut the content in two.
-            s = 0.0 if p.text is None else max(word * len(p.text.split()), spent - INSET_COST)
+            cost = min(0.0, word + weights.landmark) if p.inside else word
+            s = 0.0 if p.text is None else max(cost * len(p.text.split()), spent - INSET_COST)
             spent -= s
             spent = min(spent, INSET_COST)
         elif p.text is None:
             s = weights.tags.get(p.tag, weights.tag)
+            if p.inside or side:  # also between neighbouring landmarks
+                s = min(0.0, s + weights.landmark)
         else:
             s = word * len(p.text.split())
             spent = 0.0 if s else spent
-        # The markup bounds the content where it names it: inside of that nothing costs.
-        worth.append(max(0.0, s) if page.landmarks else s)
+        worth.append(s)
+        # The landmark's own tag, which is outside of it, bears the cost of going on from words on one side to words on the other.
+        if i and bool(p.inside) != bool(pieces[i - 1].inside):
+            edge = i - 1 if p.inside else i
+        if s > 0 and side != bool(p.inside):
+            if side is not None:
+                worth[edge] -= weights.landmark * EDGE_WORDS
+            side = bool(p.inside)
     begin, end = best_region(worth)
     blocks: list[str] = []
     last = None

@@ -40,6 +40,18 @@ def test_without_landmark_uses_learned_weights():
     assert H.extract(plain, w) == WANT.replace("& one", f"& one{filler}").replace("item one", f"item one{filler}").replace("two", f"two{filler}").replace("here.", f"here.{filler}")
 
 
+def test_a_landmark_weighs_and_does_not_bound_the_scan():
+    w = H.fit(H.count(PAGE))
+    story = "A long story that stands in a plain element and has many words of its own. " * 10
+    teasers = "<article><p>A teaser of some words</p></article>" * 3
+    assert H.extract(f"<nav>Home</nav>{teasers}<div><p>{story}</p></div>{teasers}<footer>Foot</footer>", w) == story.strip()
+    assert story.strip() in H.extract(f"<div><p>{story}</p></div><article><p>A reader says this or that of it</p></article>", w)
+    # A few words beside of an article are still no part of it, and neighbours both are.
+    assert H.extract(f"<p>Posted on Monday by a writer</p><article><ul><li>x</li></ul><p>{story}</p><ul><li>y</li></ul></article><p>All rights are reserved</p>", w) == f"x\n{story.strip()}\ny"
+    assert H.extract("<article><p>one two</p><aside>See also these other things of the site</aside><p>last</p></article>", w) == "one two\nlast"
+    assert H.extract("<article><p>first of them</p></article><article><p>second of them</p></article>", w) == "first of them\nsecond of them"
+
+
 def test_lists_of_an_article_stay_where_most_lists_are_menus():
     menu = "".join(f'<li><a href="/{i}">entry number {i}</a></li>' for i in range(40))
     page = f"<body><nav><ul class='links'>{menu}</ul><ul>{menu}</ul><ol>{menu}</ol><table><tr><td>{menu}</td></tr></table><figure>{menu}</figure></nav><article><p>{{}}</p></article></body>"
