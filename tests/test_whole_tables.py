@@ -1,5 +1,10 @@
 """Queries over whole tables, for which there is no SQL, against brute force on small fixtures."""
 
+import datetime
+import hashlib
+import re
+import unicodedata
+
 from recordloom.plans.catalogue import QUERIES
 
 
@@ -26,3 +31,22 @@ def test_duplicates(spark, tmp_path):
     assert run("dup_clash_fields") == [(3, "n_chars", False)]
     assert [r[:5] for r in run("dup_keeper_and_surplus")] == [(3, 4, 1, 4, 3)]
     assert run("bulk_resolve_identical") == [(i,) for i in sorted(ids)]
+
+
+def test_normalize_text(spark, tmp_path):
+    texts = ["Plain  ASCII\ttext", "cafe\u0301 Composed", "Thai ๑๒๓\u00a0digits", "\u2003blanks\u3000of\u2009Unicode\u0085", None, "", "naïve"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in enumerate(texts):
+        slot = re.sub(r"\s+", " ", t or "").strip().lower()  # F14 neither composes nor translates digits
+        t = unicodedata.normalize("NFC", t or "").translate(str.maketrans("๐๑๒๓๔๕๖๗๘๙", "0123456789"))
+        want.append((i, hashlib.sha256(slot.encode()).hexdigest(), len(re.sub(r"\s+", " ", t).strip())))
+    assert sorted(tuple(r) for r in QUERIES["normalize_text_all"](spark, str(tmp_path)).collect()) == want
+
+
+def test_flexible_dates(spark, tmp_path):
+    days = [datetime.date(1996, 2, 29), datetime.date(1992, 2, 29), datetime.date(1996, 2, 28), datetime.date(1998, 12, 1)]
+    rows = [(6 * n + k, day) for n, day in enumerate(days) for k in range(6)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    want = [(k, None if k % 6 == 5 else day.isoformat()) for k, day in rows]
+    assert sorted(tuple(r) for r in QUERIES["flexible_date_parse_all"](spark, str(tmp_path)).collect()) == want
