@@ -27,7 +27,7 @@ URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of equal texts and its group of near duplicates (similarity of 0.8 or more); the smallest id stays."""
     out = near_duplicates(table(spark, sf_dir, "documents"), sources=True)
-    return out.select("doc_id", "class_id", F.col("component").alias("cluster_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    return out.select("doc_id", "class_id", F.col("component").alias("cluster_id"), "kept")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
