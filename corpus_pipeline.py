@@ -35,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of a group of near duplicates: that with the smallest doc_id."""
     groups = near_duplicates(docs, sources=True)
-    return keep_rows(docs, groups.filter("doc_id <> component").select("doc_id"))
+    return keep_rows(docs, groups.filter("NOT kept").select("doc_id", F.col("text_sha256").alias("digest")))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
