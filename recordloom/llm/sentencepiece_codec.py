@@ -2,43 +2,46 @@
 
 `read_model` parses the protobuf of a .model file (wire format, the few fields needed), and `build` rebuilds
 the tokenizer from it: normaliser (the precompiled character map, if there is one), dummy prefix and space
-mark, unigram scores or - for BPE models - merges in the order of scores, and byte fallback.  Texts are encoded
-in batches by the library's own threads.  If no piece has the space mark or a line feed behind another character (read
-off the vocabulary) and texts are not normalised, no token can reach over the start of a word; then words are
-encoded once, in batches, and remembered, up to MEMO of them.  Otherwise each text is one sequence.
+mark, unigram scores or - for BPE models - merges in the order of scores, and byte fallback.
 
-Parity: when asked to, `encode` also encodes with the sentencepiece library and reports equality for every text -
-of each of its words, where words are independent (then that of the text follows), else of the text as one.
-Whatever that says, each whole text is decoded again (by its words, likewise) and compared.
+Texts are encoded slice by slice (SLICE_BYTES), in batches by the library's own threads.  If no piece has the space mark
+or a line feed behind another character (read off the vocabulary) and texts are not normalised, no token can reach over
+the start of a word; then the distinct words of a slice go to the library, SEQUENCE of them in a sequence, and each
+text's ids are those of its words, put together in flat arrays.  Nothing is remembered from one slice to the next, so
+memory follows the slice.  Otherwise, and for texts with a literal space mark, each text is one sequence of a batch.
+
+Parity: when asked to, `encode` also encodes with the sentencepiece library, the same words or whole texts, and reports
+for every text whether the ids are equal: where words are independent, those of a text are equal if those of its words are.
+All ids are decoded again, likewise, and compared with the text.
 
 Round trips: a literal space mark in a text decodes to a space, as in the library itself; `round_trip` says so.
 
-Defined cases: null text counts as empty (no ids, decodes to ""); repeated rows give repeated results; an empty
-table gives no rows; other columns of the input are ignored.
+Defined cases: null text counts as empty (no ids, decodes to ""); a very long text is a slice of its own; repeated rows
+give repeated results, null ids are kept; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.shingling import flat_bytes, slices
+
 MARK = "▁"
 #: Fixed values of the public model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Characters that go to the tokenizer at once; bounds the memory of a batch.
-BATCH_CHARS = 200_000
-#: Words that a worker remembers.
-MEMO = 500_000
+#: Bytes of text of a slice, words of a sequence, and sequences of a batch; they bound the memory of a worker.
+SLICE_BYTES, SEQUENCE, BATCH = 12_000_000, 512, 256
 
 
 @dataclass
@@ -173,18 +176,6 @@ def _reference(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size > BATCH_CHARS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 @lru_cache(maxsize=4)
 def _word_encoder(path: str):
     """The tokenizer for single words (no normaliser, no blank stripped), if words are independent of each other; else None."""
@@ -201,58 +192,110 @@ def _word_encoder(path: str):
     return t
 
 
-_WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+def word_bounds(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where words begin, with the end: at texts, at the first of some blanks, at line feeds and behind them."""
+    begin, blank = np.zeros(len(data) + 1, bool), data == ord(" ")
+    begin[0 : len(data)] = blank
+    begin[1 : len(data)] &= ~blank[:-1]
+    feed = np.flatnonzero(data == ord("\n"))
+    begin[feed] = begin[feed + 1] = begin[at] = True
+    return np.flatnonzero(begin)
+
+
 @dataclass
-class _Memo:
-    """Words with their ids and what these decode to, and the words on which the two libraries differ."""
-
-    ids: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    text: dict[str, str] = field(default_factory=dict)
-    odd: set[str] = field(default_factory=set)
-
-
-_MEMOS: dict[tuple[str, bool], _Memo] = {}
-
-
-def _learn(path: str, t, memo: _Memo, new: list[str], parity: bool) -> None:
-    """Encode and decode new words, all in one sequence with line feeds between them, which no token reaches over."""
-    if "\n" not in memo.ids:
-        memo.ids["\n"], memo.text["\n"] = tuple(t.encode("\n", add_special_tokens=False).ids), "\n"
-    feed = memo.ids["\n"][-1]
-    new = [w for w in new if w != "\n"]
-    text = MARK + "\n" + "".join(w + "\n" for w in new)
-    ids = np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-    at = np.flatnonzero(ids == feed)
-    got = [tuple(x) for x in (ids[i + 1 : j].tolist() for i, j in zip(at[:-1], at[1:], strict=True))]
-    memo.ids.update(zip(new, got, strict=True))
-    memo.text.update(zip(new, t.decode(ids[at[0] + 1 :].tolist(), skip_special_tokens=False).split("\n")[:-1], strict=True))
-    if parity:
-        theirs = np.array(_reference(path).encode(text[1:].replace(MARK, " ")), dtype=np.int32)
-        if not np.array_equal(theirs, ids):
-            its = np.flatnonzero(theirs == feed)
-            memo.odd.update(w for w, i, j, x in zip(new, its[:-1], its[1:], got, strict=True) if tuple(theirs[i + 1 : j].tolist()) != x)
-
-
-def _codec_slice(path: str, texts: list[str], parity: bool = False) -> tuple[list[list[int]], list[bool], list[bool]]:
-    """Of each text its ids, whether they decode to it, and whether the sentencepiece library gives the same ids."""
+class Encoded:
+    """Flat ids of consecutive texts, where each text's begin, with the end, whether they decode to it, and whether the sentencepiece library gives the same."""
+
+    ids: np.ndarray
+    at: np.ndarray
+    back: np.ndarray
+    same: np.ndarray | None
+
+    def lists(self) -> list[list[int]]:
+        return [self.ids[i:j].tolist() for i, j in zip(self.at[:-1], self.at[1:], strict=True)]
+
+
+def _by_words(path: str, texts: pa.Array, parity: bool) -> Encoded:
+    """Texts by their distinct words; none has a literal space mark, and none is null or empty."""
     t = _word_encoder(path)
-    if t is None:
-        ids = [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
-        same = [x == y for x, y in zip(_reference(path).encode(texts, num_threads=1), ids, strict=True)] if parity else []
-        return ids, [x == y for x, y in zip(decode_ids(path, ids), texts, strict=True)], same
-    memo = _MEMOS.setdefault((path, parity), _Memo())
-    if len(memo.ids) > MEMO:
-        memo.__init__()
-    words = [_WORDS.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-    _learn(path, t, memo, list(set(chain.from_iterable(words)).difference(memo.ids)), parity)
-    # A text decodes to its decoded words without the first blank, which stands for the dummy prefix.
-    back = ["".join(map(memo.text.__getitem__, ws))[1:] == x for ws, x in zip(words, texts, strict=True)]
-    same = [not memo.odd or memo.odd.isdisjoint(ws) for ws in words] if parity else []
-    return [list(chain.from_iterable(map(memo.ids.__getitem__, ws))) for ws in words], back, same
+    # The blank before each text stands for the dummy prefix.
+    data, at = flat_bytes(pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)))
+    bounds = word_bounds(data, at)
+    words = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    code, known = words.indices.to_numpy(), words.dictionary
+    alone = t.encode("\n", add_special_tokens=False).ids
+    feed = alone[-1]
+    line = pc.index(known, pa.scalar("\n", known.type)).as_py()
+    # Sequences of words with line feeds between them, which no token reaches over; the word of a line feed has no ids then.
+    ends = np.append(np.arange(0, len(known), SEQUENCE), len(known)).astype(np.int64)
+    some = known if line < 0 else pc.if_else(pa.array(np.arange(len(known)) == line), pa.scalar("", known.type), known)
+    plain = ["\n" + x + "\n" for x in pc.binary_join(pa.LargeListArray.from_arrays(ends, some), pa.scalar("\n", known.type)).to_pylist()]
+    ids, sizes = [], []
+    back, same = np.ones(len(known), bool), np.ones(len(known), bool)
+    for i in range(0, len(plain), BATCH):
+        batch = plain[i : i + BATCH]
+        got = [e.ids for e in t.encode_batch_fast([MARK + x.replace(" ", MARK) for x in batch], add_special_tokens=False)]
+        theirs = _reference(path).encode(batch, num_threads=1) if parity else got
+        for k, x, own, other, text in zip(range(i, i + len(batch)), batch, got, theirs, t.decode_batch(got, skip_special_tokens=False), strict=True):
+            flat = np.array(own, np.int32)
+            feeds = np.flatnonzero(flat == feed)
+            of = slice(ends[k], ends[k + 1])
+            if text[1:] != x:
+                back[of] = [a == b for a, b in zip(text.split("\n")[1:-1], x.split("\n")[1:-1], strict=True)]
+            if other != own:
+                its = np.array(other, np.int32)
+                stops = np.flatnonzero(its == feed)
+                same[of] = [np.array_equal(flat[a:b], its[c:d]) for a, b, c, d in zip(feeds[:-1], feeds[1:], stops[:-1], stops[1:], strict=True)]
+            sizes.append(np.diff(feeds) - 1)
+            ids.append(np.delete(flat, np.append(np.arange(feeds[0]), feeds)))
+    size, pool = np.concatenate(sizes), np.concatenate(ids)
+    start = np.cumsum(size) - size
+    if line >= 0:
+        size[line], start[line], pool = 1, len(pool), np.append(pool, np.int32(feed))
+    first = np.searchsorted(bounds, at)
+    many = size[code]
+    end = np.cumsum(many)
+    where = np.append(0, end)[first]
+    flat = pool[np.repeat(start[code] - (end - many), many) + np.arange(end[-1])]
+    every = (np.logical_and.reduceat(x[code], first[:-1]) for x in (back, same))
+    return Encoded(flat, where, next(every), next(every) if parity else None)
+
+
+def _by_texts(path: str, texts: list[str], parity: bool) -> Encoded:
+    """Each text as a sequence of its own."""
+    ids = [e.ids for i in range(0, len(texts), BATCH) for e in tokenizer(path).encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
+    same = np.array([x == y for x, y in zip(_reference(path).encode(texts, num_threads=1), ids, strict=True)], bool) if parity else None
+    back = np.array([x == y for x, y in zip(decode_ids(path, ids), texts, strict=True)], bool)
+    at = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+    return Encoded(np.fromiter((i for x in ids for i in x), np.int32, at[-1]), at, back, same)
+
+
+def codec(path: str, texts: pa.Array, parity: bool = False) -> Encoded:
+    """Texts (strings; null is empty) encoded, decoded again and, if asked for, held against the sentencepiece library."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    alone = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False) if _word_encoder(path) else size > 0
+    parts = [(np.flatnonzero(alone & (size > 0)), lambda x: _by_texts(path, x.to_pylist(), parity)), (np.flatnonzero(~alone & (size > 0)), lambda x: _by_words(path, x, parity))]
+    many, back, same = np.zeros(len(texts), np.int64), np.ones(len(texts), bool), np.ones(len(texts), bool)
+    got = []
+    for rows, run in parts:
+        if len(rows):
+            e = run(texts if len(rows) == len(texts) else texts.take(pa.array(rows)))
+            if len(rows) == len(texts):
+                return e
+            many[rows], back[rows] = np.diff(e.at), e.back
+            if parity:
+                same[rows] = e.same
+            got.append((rows, e))
+    at = np.append(0, np.cumsum(many))
+    ids = np.empty(at[-1], np.int32)
+    for rows, e in got:
+        ids[np.repeat(at[rows] - e.at[:-1], many[rows]) + np.arange(len(e.ids))] = e.ids
+    return Encoded(ids, at, back, same if parity else None)
 
 
 def encode_texts(path: str, texts: list[str]) -> list[list[int]]:
-    return [ids for s in _slices(texts) for ids in _codec_slice(path, s)[0]]
+    return codec(path, pa.array(texts, pa.large_string())).lists()
 
 
 def decode_ids(path: str, ids: list[list[int]]) -> list[str]:
@@ -262,25 +305,16 @@ def decode_ids(path: str, ids: list[list[int]]) -> list[str]:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", parity: bool = False) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (decoding gives the text) and parity (equals the sentencepiece library; null if not asked for)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            # Ids leave as arrays, slice by slice: a batch as lists of numbers would take gigabytes.
-            for s in _slices(b.text.tolist()):
-                ids, trip, same = _codec_slice(path, s, parity)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": b.doc_id.iloc[at : at + len(s)].to_numpy(),
-                        "ids": [np.array(x, dtype=np.int32) for x in ids],
-                        "n_tokens": [len(x) for x in ids],
-                        "round_trip": trip,
-                        "parity": pd.array(same or [None] * len(s), dtype="boolean"),
-                    }
-                )
-                at += len(s)
+            for i, part in slices(b.column(1), SLICE_BYTES):
+                e = codec(path, part, parity)
+                same = pa.array(e.same) if parity else pa.nulls(len(part), pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array(e.at, pa.int32()), pa.array(e.ids))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), lists, pa.array(np.diff(e.at)), pa.array(e.back), same], ["doc_id", "ids", "n_tokens", "round_trip", "parity"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens bigint, round_trip boolean, parity boolean")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens bigint, round_trip boolean, parity boolean")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -1,4 +1,7 @@
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,12 +25,36 @@ def test_parity_with_the_library(text):
         return
     ids = C.encode_texts(MODEL, [text])[0]
     assert ids == SP.encode(text) == C.tokenizer(MODEL).encode(text, add_special_tokens=False).ids
-    _, back, same = C._codec_slice(MODEL, [text], parity=True)
-    assert same == [True] and back == [C.decode_ids(MODEL, [ids])[0] == text]
+    e = C.codec(MODEL, pa.array([text]), parity=True)
+    assert e.same.all() and e.back.tolist() == [C.decode_ids(MODEL, [ids])[0] == text]
     if "▁" not in text:
         assert C.decode_ids(MODEL, [ids])[0] == text
 
 
+@pytest.mark.parametrize("sequence", [3, 512])
+def test_whole_texts_against_both_libraries(monkeypatch, sequence):
+    """Texts of one slice, by words and with literal marks, against each library on every whole text."""
+    monkeypatch.setattr(C, "SEQUENCE", sequence)
+    r = np.random.default_rng(3)
+    pool = ["the", "a", "Straße", "日本語", "\n", "\n\n", " ", "   ", "\t", "x" * 40, "<s>", "</s>", "<0x0A>", "\U0001f600", "é", ".", "e\u0301", "▁", "▁▁b", "\r\n", "\u00a0"]
+    texts = ["", None, "\n", " ", "  ", "▁", " \n ", "word"] + [" ".join(r.choice(pool[: 17 if i % 3 else len(pool)], r.integers(1, 60))) + " " * int(r.integers(0, 3)) for i in range(200)]
+    e = C.codec(MODEL, pa.array(texts), parity=True)
+    plain = [t or "" for t in texts]
+    assert e.lists() == SP.encode(plain) == [x.ids for x in C.tokenizer(MODEL).encode_batch(plain, add_special_tokens=False)]
+    assert e.same.all() and e.back.tolist() == [a == b for a, b in zip(C.decode_ids(MODEL, e.lists()), plain, strict=True)]
+    assert not e.back.all() and e.back.sum() > 100
+
+
+def test_a_difference_is_reported_for_its_text(monkeypatch):
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[7 if i == SP.piece_to_id("▁odd") else i for i in x] for x in SP.encode(texts)]
+
+    monkeypatch.setattr(C, "_reference", lambda path: Other())
+    e = C.codec(MODEL, pa.array(["all even", "an odd one", "", "odd", "odds ▁ odd", "even"]), parity=True)
+    assert e.same.tolist() == [True, False, True, False, False, True]
+
+
 def test_frames(spark):
     texts = [(1, "Hello  wörld\n", "x"), (2, None, "y"), (3, "", "z"), (4, "word " * 20000, "q"), (4, "word " * 20000, "q")]
     df = spark.createDataFrame(texts, "doc_id long, text string, ids string")
