@@ -41,7 +41,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text of a slice, words of a sequence, and sequences of a batch; they bound the memory of a worker.
-SLICE_BYTES, SEQUENCE, BATCH = 12_000_000, 512, 256
+SLICE_BYTES, SEQUENCE, BATCH = 8_000_000, 512, 256
 
 
 @dataclass
