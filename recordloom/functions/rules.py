@@ -130,9 +130,11 @@ def json_slice(c: Column) -> Column:
     return F.coalesce(F.try_parse_json(c), F.try_parse_json(F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))))
 
 
-def numeric_only(m: Column) -> Column:
-    """the numbers of a map of texts."""
-    return F.map_filter(F.transform_values(m, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())
+def numeric_only(v: Column) -> Column:
+    """the values of a JSON object (a variant) that are numbers; true and false count as 1 and 0, texts of digits do not."""
+    kinds = ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL", "BOOLEAN"]
+    values = F.map_filter(F.from_json(F.to_json(v), "map<string,variant>"), lambda _, x: F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0).isin(kinds))
+    return F.transform_values(values, lambda _, x: F.try_variant_get(x, "$", "double"))
 
 
 def audit_document(**parts: Column) -> Column:
@@ -147,7 +149,7 @@ def relabel(c: Column, labels: dict[str, str]) -> Column:
 
 #: S09, fixed values: first bytes (hex) at an offset, by format.
 MAGIC = [("jpeg", 0, "FFD8FF"), ("png", 0, "89504E470D0A1A0A"), ("webp", 8, "57454250")]
-MAGIC_BRANDS = {"heic": ["heic", "heix", "hevc", "heim", "heis", "hevm", "mif1"], "avif": ["avif", "avis"]}
+MAGIC_BRANDS = {"heic": ["heic", "heix", "hevc", "heim", "heis", "hevm", "mif1", "msf1"], "avif": ["avif", "avis"]}
 
 
 def sniff(content: Column) -> Column:

@@ -79,16 +79,22 @@ def ratio(a: Column, b: Column) -> Column:
 # --- Python side, for long strings and for windows -------------------------------------------------
 
 
-def _lcs(a: str, b: str) -> int:
-    """Bit-parallel longest common subsequence."""
+def _places(a: str) -> dict[str, int]:
+    """For each character the bits of its places."""
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
         where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    free = full
+    return where
+
+
+def _lcs(a: str, b: str, where: dict[str, int] | None = None) -> int:
+    """Bit-parallel longest common subsequence; where: the places of a, if known."""
+    where = _places(a) if where is None else where
+    free = full = (1 << len(a)) - 1
     for ch in b:
-        hit = free & where.get(ch, 0)
-        free = ((free + hit) | (free - hit)) & full
+        if ch in where:
+            hit = free & where[ch]
+            free = ((free + hit) | (free - hit)) & full
     return len(a) - free.bit_count()
 
 
@@ -103,11 +109,11 @@ def py_partial_ratio(a: str, b: str) -> float:
         return 100.0 if a == b else 0.0
 
     def best(s: str, t: str) -> float:
-        m, top = len(s), 0.0
+        m, top, where = len(s), 0.0, _places(s)
         spans = [(i, i + m) for i in range(len(t) - m + 1)] + [(0, i) for i in range(1, m)] + [(len(t) - i, len(t)) for i in range(1, m)]
         for i, j in spans:
             if 200.0 * min(m, j - i) / (m + j - i) > top:
-                top = max(top, py_ratio(s, t[i:j]))
+                top = max(top, 200.0 * _lcs(s, t[i:j], where) / (m + j - i))
         return top
 
     if len(a) == len(b):
@@ -133,7 +139,10 @@ def py_token_set_ratio(a: str, b: str) -> float:
 def _pairwise(f):
     @F.pandas_udf(T.DoubleType())
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        # Columns of few values repeat their pairs; each is scored once a batch.
+        pairs = list(zip(a, b, strict=True))
+        score = {p: f(p[0] or "", p[1] or "") for p in set(pairs)}
+        return pd.Series([score[p] for p in pairs], dtype="float64")
 
     return udf
 
@@ -144,9 +153,10 @@ token_set_ratio = _pairwise(py_token_set_ratio)
 name_score = _pairwise(lambda a, b: max(py_token_set_ratio(a, b), py_partial_ratio(a, b)))
 
 
-def classify(q: Column, digits: Column) -> Column:
-    """what a search text looks like: tel, plate or name."""
-    tight = F.regexp_replace(q, r"(?U)\s", "")
+def classify(q: Column) -> Column:
+    """what a search text looks like: tel, plate or name.  Digits are those of the text, as it was typed."""
+    tight = F.replace(q, F.lit(" "), F.lit(""))
+    digits = F.regexp_replace(q, r"(?U)\D", "")
     return (
         F.when((F.length(digits) >= 6) & (F.length(digits) >= F.length(tight) - 2), F.lit("tel"))
         .when(tight.rlike("[ก-ฮ]") & tight.rlike(r"(?U)\d") & (F.length(tight) <= 10), F.lit("plate"))

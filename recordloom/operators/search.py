@@ -8,33 +8,39 @@ from pyspark.sql import functions as F
 from recordloom.functions import similarity, text
 
 
-def search(rows: DataFrame, texts: list[str], top: int = 20, threshold: float = 0.3) -> DataFrame:
+def search(rows: DataFrame, texts: list[str], top: int = 20, threshold: float = 0.3, include_pending: bool = False) -> DataFrame:
     """Q, rank, id, score and match_on of the best rows for each search text.
 
-    rows: id, name_norm, tel_digits, plate_norm, brand_norm, stored, created.  The texts are a short list that the user
-    types, so they are broadcast; rows meet them by shared 3-grams (at the similarity threshold), by edits
-    within two of a plate, or by contained digits.  Unlike the record system, no unordered cap cuts the candidates.
+    rows: id, name_norm, tel_digits, plate_norm, brand_norm, review_status, stored, created; only approved ones are found
+    unless pending ones are asked for.  The texts are a short list that the user types, so they are broadcast and every row
+    is held against them in one scan without a shuffle: by the similarity of 3-grams (at the threshold), by contained
+    digits, or by a phone or plate within two edits.  Unlike the record system, no unordered cap cuts the candidates.
     """
     spark = rows.sparkSession
-    q = spark.createDataFrame([(t,) for t in texts if len(t.strip()) >= 2], "q string")
-    base = text.base(F.col("q"))
+    q = spark.createDataFrame([(t,) for t in texts], "q string").withColumn("base", text.base(F.col("q"))).filter(F.length("base") >= 2)
     q = q.select(
         "q",
-        text.name(F.col("q")).alias("q_name"),
-        text.phone(F.col("q")).alias("q_tel"),
-        text.plate(F.col("q")).alias("q_plate"),
-        text.brand(F.col("q")).alias("q_brand"),
-        similarity.classify(base, text.phone(F.col("q"))).alias("kind"),
+        text.name(F.col("base")).alias("q_name"),
+        text.phone(F.col("base")).alias("q_tel"),
+        text.plate(F.col("base")).alias("q_plate"),
+        text.brand(F.col("base")).alias("q_brand"),
+        similarity.classify(F.col("base")).alias("kind"),
     )
-    q = F.broadcast(q)
-    hits = None
-    for a, b in (("q_name", "name_norm"), ("q_plate", "plate_norm"), ("q_brand", "brand_norm")):
-        pairs = similarity.trigram_pairs(q.select(F.col("q").alias("id"), F.col(a).alias("value")), rows.select("id", F.col(b).alias("value")), threshold).select(F.col("l").alias("q"), F.col("r").alias("id"))
-        hits = pairs if hits is None else hits.unionByName(pairs)
-    near = similarity.edit_pairs(q.filter("q_plate <> ''").select(F.col("q").alias("id"), F.col("q_plate").alias("value")), rows.select("id", F.col("plate_norm").alias("value")))
-    hits = hits.unionByName(near.select(F.col("l").alias("q"), F.col("r").alias("id")))
-    digits = rows.select("id", "tel_digits").join(q.filter("length(q_tel) >= 4").select("q", "q_tel"), F.contains("tel_digits", "q_tel")).select("q", "id")
-    both = hits.unionByName(digits).distinct().join(rows, "id").join(q, "q")
+    fields = ("name", "plate", "brand")
+    q = F.broadcast(q.withColumns({f"qg_{f}": similarity.trigrams(F.coalesce(f"q_{f}", F.lit(""))) for f in fields}))
+    if not include_pending:
+        rows = rows.filter("review_status = 'approved'")
+    own = rows.withColumns({f"g_{f}": similarity.trigrams(F.coalesce(f"{f}_norm", F.lit(""))) for f in fields})
+
+    def alike(f: str):
+        shared = F.size(F.array_intersect(f"qg_{f}", f"g_{f}"))
+        return (shared > 0) & (shared / (F.size(f"qg_{f}") + F.size(f"g_{f}") - shared) >= threshold)
+
+    def edited(a: str, b: str):
+        return (F.col(a) != "") & (F.col(b) != "") & similarity.within(F.col(a), F.col(b), 2)
+
+    hit = alike("name") | alike("plate") | alike("brand") | ((F.col("q_tel") != "") & F.contains("tel_digits", "q_tel")) | edited("q_tel", "tel_digits") | edited("q_plate", "plate_norm")
+    both = own.join(q, F.coalesce(hit, F.lit(False)))
 
     def known(f, a: str, b: str):
         return F.when((F.col(a) != "") & (F.col(b) != ""), f).otherwise(0.0)

@@ -18,13 +18,37 @@ def _attempts(e):
     ).select("key", "event_id", (F.col("at_us") / 1e6).alias("at"), "ok", "ts")
 
 
-@query()
+#: The fold as recursive SQL: one step for each attempt of a key, in order.
+_FOLD = """
+    WITH RECURSIVE a AS (
+        SELECT 'u' || (user_id % 20) AS key, event_id, epoch_us(ts) / 1e6 AS x, event_type = 'signup' AS ok,
+               row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS i
+        FROM events WHERE event_type IN ('error', 'signup')),
+    s AS (
+        SELECT key, event_id, x, i, false AS refused, 0 AS lock, 0::DOUBLE AS until, CASE WHEN ok THEN []::DOUBLE[] ELSE [x] END AS fails FROM a WHERE i = 1
+        UNION ALL
+        SELECT key, event_id, x, i, refused, lock, CASE WHEN refused THEN until WHEN ok THEN 0 WHEN lock > 0 THEN x + lock ELSE until END, CASE WHEN refused THEN old WHEN ok THEN []::DOUBLE[] ELSE recent END
+        FROM (
+            SELECT *, CASE WHEN refused OR ok OR len(recent) < 5 THEN 0 ELSE least({longest}, 30 * 2 ** least(len(recent) - 5, 20))::INT END AS lock
+            FROM (
+                SELECT a.key, a.event_id, a.x, a.i, a.ok, s.until > a.x AS refused, s.until, s.fails AS old, list_append(list_filter(s.fails, lambda t: a.x - t < 900), a.x) AS recent
+                FROM s JOIN a ON a.key = s.key AND a.i = s.i + 1)))
+    SELECT key, event_id, x AS "at", refused, lock FROM s"""
+
+
+@query(_FOLD.format(longest=1800))
 def throttle_exact(spark, d):
     """The ordered fold in batch form."""
     return state.throttle_batch(_attempts(table(spark, d, "events")))
 
 
-@query()
+@query(_FOLD.format(longest=180))
+def throttle_exact_user(spark, d):
+    """The same with the lower ceiling of user names."""
+    return state.throttle_batch(_attempts(table(spark, d, "events")), state.LONGEST_USER)
+
+
+@query(_FOLD.format(longest=1800))
 def throttle_exact_stream(spark, d):
     """The same rows from a stream with state per key."""
     e = spark.readStream.schema(table(spark, d, "events").schema).parquet(_folder(spark, d, "events"))
@@ -42,8 +66,9 @@ def _folder(spark, d, name):
 def hash_gate_stream(spark, d):
     """The first upload of each hash, as a stream."""
     doc = spark.readStream.schema(table(spark, d, "documents").schema).parquet(_folder(spark, d, "documents"))
-    up = doc.select(F.sha2("text", 256).alias("sha"), F.timestamp_seconds(F.col("doc_id") % 1000).alias("ts"))
-    got = state.drain(state.first_seen_stream(up, "sha", "ts"), scratch_path(spark, "gate")).select("sha")
+    # A lost upload is no duplicate, so the gate is the exact one.
+    up = doc.select(F.sha2("text", 256).alias("sha"), F.timestamp_seconds(1_600_000_000 + F.col("doc_id") % 1000).alias("ts"))
+    got = state.drain(state.first_seen_stream(up, "sha", "ts", None), scratch_path(spark, "gate")).select("sha")
     return got.join(F.broadcast(got.agg(F.count(F.lit(1)).alias("n"))))
 
 

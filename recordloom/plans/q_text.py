@@ -136,14 +136,15 @@ def alias_canonicalize(spark, d):
     return rows.select("id", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Ann', 0.5, true), (2, 'Bob', NULL, true), (3, NULL, NULL, true), (4, 'Cy', 1.0, false)) t(id, name, confidence, fills)")
+@query("SELECT * FROM (VALUES (1, 'Ann', 0.5, true), (2, 'Bob', NULL, true), (3, NULL, NULL, true), (4, 'Cy', NULL, false), (5, 'Di', 1.0, true), (6, 'Ed', 7.0, true)) t(id, name, confidence, fills)")
 def json_slice_parse(spark, d):
     """F30, F31, F41"""
     rows = spark.createDataFrame(
-        [(1, '{"name": "Ann", "confidence": {"name": 0.5, "tel": "x"}}'), (2, 'Here: ```json\n{"name": "Bob"}\n```'), (3, "no json"), (4, 'x {"name": "Cy", "fills": false, "confidence": {"name": "1"}} y')], "id int, raw string"
+        [(1, '{"name": "Ann", "confidence": {"name": 0.5, "tel": "x"}}'), (2, 'Here: ```json\n{"name": "Bob"}\n```'), (3, "no json"), (4, 'x {"name": "Cy", "fills": false, "confidence": {"name": "1"}} y'),
+         (5, '{"name": "Di", "confidence": {"name": true}}'), (6, '{"name": "Ed", "confidence": {"name": 7, "tel": null}}')], "id int, raw string"
     )
     v = rows.withColumn("v", rules.json_slice(F.col("raw")))
-    conf = rules.numeric_only(F.from_json(F.to_json(F.try_variant_get("v", "$.confidence", "variant")), "map<string,string>"))
+    conf = rules.numeric_only(F.try_variant_get("v", "$.confidence", "variant"))
     return v.select("id", F.try_variant_get("v", "$.name", "string").alias("name"), F.try_element_at(conf, F.lit("name")).alias("confidence"), F.coalesce(F.try_variant_get("v", "$.fills", "boolean"), F.lit(True)).alias("fills"))
 
 
@@ -155,10 +156,10 @@ def day_stamp(spark, d):
     return table(spark, d, "orders").withColumn("s", s).select("o_orderkey", F.col("s")["weekday"].alias("weekday"), F.col("s")["quote"].alias("quote"), F.lit(dates.quote_cycle_days(quotes)).alias("cycle"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, 'jpeg'), (2, 'png'), (3, 'webp'), (4, 'heic'), (5, 'avif'), (6, 'unknown'), (7, 'unknown'), (8, 'heic'), (9, 'unknown')) t(id, format)")
 def magic_sniff(spark, d):
     """S09 over bytes of each format."""
-    rows = [(1, "FFD8FFE000104A464946"), (2, "89504E470D0A1A0A0000"), (3, "524946460000000057454250"), (4, "00000018667479706D696631"), (5, "00000018667479706176696600"), (6, "00"), (7, "")]
+    rows = [(1, "FFD8FFE000104A464946"), (2, "89504E470D0A1A0A0000"), (3, "524946460000000057454250"), (4, "00000018667479706D696631"), (5, "00000018667479706176696600"), (6, "00"), (7, ""), (8, "00000018667479706D736631"), (9, "000000186674797069736F6D")]
     return spark.createDataFrame(rows, "id int, h string").select("id", rules.sniff(F.unhex("h")).alias("format"))
 
 
@@ -208,6 +209,7 @@ def fuzzy_search_ranked(spark, d):
         F.concat(F.lit("1กก"), F.col("c_custkey") % 10000).alias("plate_norm"),
         F.lower("c_mktsegment").alias("brand_norm"),
         (F.col("c_nationkey") % 2 == 0).alias("stored"),
+        F.when(F.col("c_custkey") % 11 == 4, "pending").otherwise("approved").alias("review_status"),
         F.col("c_custkey").alias("created"),
     )
-    return search(rows, ["machinery customer#000000042", "0800000042", "1กก77", "furnitur"], top=20)
+    return search(rows, ["machinery customer#000000042", "0800000042", "+66 800-000024", "0043", "1กก77", "furnitur"], top=20)

@@ -83,7 +83,7 @@ def extract(files: DataFrame, extractor: Extractor, preprocessor: Preprocessor |
             cost += float(second.get("cost") or 0)
             if any((second.get("fields") or {}).get(f) for f in rules.REQUIRED):
                 got, used = second, "full"
-        conf = {k: float(v) for k, v in (got.get("confidence") or {}).items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+        conf = {k: float(v) for k, v in (got.get("confidence") or {}).items() if isinstance(v, (int, float))}
         fields = {k: None if v is None else str(v) for k, v in (got.get("fields") or {}).items()}
         return fields, conf, got.get("fills") is not False, used, got.get("error"), cost
 

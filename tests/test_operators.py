@@ -1,9 +1,14 @@
 """Invariants of the record operators on small tables."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from recordloom.functions import similarity, text
 from recordloom.operators import duplicates, metrics, mutate, visits, workqueue
 from recordloom.operators.graph import connected_components
+from recordloom.operators.search import search
 from recordloom.sources import readers
 from recordloom.streaming.ingest import NoCrop, Retryable, StubExtractor, extract, with_retries
 from recordloom.streaming.state import QueueFold, ThrottleFold
@@ -108,3 +113,94 @@ def test_markdown(spark):
 
     df = spark.createDataFrame([("a|b", 0.5, None), ("c", 2.0, 3)], "k string, v double, n int")
     assert markdown(df) == "| k | v | n |\n|-|-|-|\n| a\\|b | 0.5 | n/a |\n| c | 2 | 3 |\n"
+
+
+def _grams(t):
+    words = re.findall(r"[^\W_]+", t.lower())
+    return {p[i : i + 3] for w in words for p in [f"  {w} "] for i in range(len(p) - 2)}
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def _partial(a, b):
+    s, t = sorted((a, b), key=len)
+    turns = [(s, t), (t, s)] if len(s) == len(t) else [(s, t)]
+    return max(_ratio(x, y[i:j]) for x, y in turns for i in range(-len(x) + 1, len(y)) for j in [min(len(y), i + len(x))] for i in [max(0, i)] if j > i)
+
+
+def _ratio(a, b):
+    return 200 * _lcs(a, b) / (len(a) + len(b))
+
+
+def _sets(a, b):
+    x, y = set(a.split()), set(b.split())
+    both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x & y) + sorted(x - y)), " ".join(sorted(x & y) + sorted(y - x))
+    if not x or not y:
+        return 0
+    if both and (x <= y or y <= x):
+        return 100
+    return max([_ratio(left, right)] + ([_ratio(both, left), _ratio(both, right)] if both else []))
+
+
+def test_search_against_brute_force(spark):
+    r = random.Random(6)
+    first, last = ["ann", "bob", "cyril", "dora", "somchai"], ["smith", "jones", "jaidee", "smit"]
+    rows = []
+    for i in range(80):
+        tel = "08" + "".join(r.choice("0123") for _ in range(8))
+        rows.append((i, f"{r.choice(first)} {r.choice(last)}", r.choice([tel, tel, None, ""]), r.choice([f"1กก{r.randrange(30)}", None]), r.choice(["toyota", "honda", None]), r.choice(["approved", "pending"]), r.random() < 0.5, r.randrange(9)))
+    phones = [x[2] for x in rows if x[2] and x[5] == "approved"]
+    texts = ["somchai", "smith ann", phones[0], "+66 " + phones[1][1:], phones[2][4:7], "1กก7", "honda", "x", "  ", "0" + phones[3][2:], "812 345 67"]
+    df = spark.createDataFrame(rows, "id int, name_norm string, tel_digits string, plate_norm string, brand_norm string, review_status string, stored boolean, created int")
+    qs = spark.createDataFrame([(t,) for t in texts], "q string").select(
+        "q", text.base(F.col("q")).alias("b"), *[f(text.base(F.col("q"))).alias(n) for n, f in (("name", text.name), ("tel", text.phone), ("plate", text.plate), ("brand", text.brand))]
+    ).collect()
+    for pending in (False, True):
+        want = set()
+        for q in qs:
+            if len(q.b) < 2:
+                continue
+            digits, tight = re.sub(r"\D", "", q.b), q.b.replace(" ", "")
+            kind = "tel" if len(digits) >= 6 and len(digits) >= len(tight) - 2 else "plate" if re.search("[ก-ฮ]", q.b) and re.search(r"\d", q.b) and len(tight) <= 10 else "name"
+            found = []
+            for i, name, tel, plate, brand, status, stored, created in rows:
+                if status != "approved" and not pending:
+                    continue
+                tel, plate, brand = tel or "", plate or "", brand or ""
+                like = lambda a, b: bool(_grams(a) & _grams(b)) and len(_grams(a) & _grams(b)) / len(_grams(a) | _grams(b)) >= 0.3
+                if not (like(name, q["name"] or "") or like(plate, q.plate or "") or like(brand, q.brand or "") or q.tel and (q.tel in tel or tel and _edits(tel, q.tel) <= 2) or q.plate and plate and _edits(plate, q.plate) <= 2):
+                    continue
+                s = {
+                    "tel": (100 if q.tel in tel else _ratio(q.tel, tel)) if q.tel and tel else 0,
+                    "plate": _ratio(q.plate, plate) if q.plate and plate else 0,
+                    "name": max(_sets(q["name"], name), _partial(q["name"], name)) if q["name"] and name else 0,
+                    "brand": _partial(q.brand, brand) if q.brand and brand else 0,
+                }
+                on = max(s, key=lambda f: s[f] * similarity.WEIGHTS[kind][f])
+                found.append((-round(s[on] * similarity.WEIGHTS[kind][on], 1), not stored, -created, i, on))
+            want |= {(q.q, k + 1, i, -v, on) for k, (v, _, _, i, on) in enumerate(sorted(found)[:7])}
+        got = {(x.q, x["rank"], x.id, x.score, x.match_on) for x in search(df, texts, top=7, include_pending=pending).collect()}
+        assert got == want and len({x[0] for x in got}) >= 8
+
+
+def test_classify_counts_the_digits_that_were_typed(spark):
+    q = spark.createDataFrame([("+66 812-345678",), ("12345",), ("081 234",), ("กข 12",), ("ann 123456789",)], "q string")
+    assert [x.k for x in q.select(similarity.classify(F.col("q")).alias("k")).collect()] == ["tel", "name", "tel", "plate", "name"]
