@@ -12,7 +12,8 @@ forms) are left out, and the rest is written block by block.
 
 Fitting reads at most about `max_pages` pages, chosen by a hash of the id; its result is a few hundred numbers.
 
-Defined cases: null or empty html gives ""; broken or unclosed markup is read as far as it goes; a page whose
+Defined cases: null or empty html gives ""; very long pages are read whole; end tags that HTML implies (of paragraphs, items,
+rows and cells) count as written; other broken or unclosed markup is read as far as it goes; null ids are kept; a page whose
 best region has no positive sum gives ""; repeated rows give repeated results; an empty table gives no rows;
 other columns of the input are kept, but those with the names of the results.
 """
@@ -41,6 +42,22 @@ RAW = frozenset("script style template noscript textarea iframe svg math object
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Fixed values of HTML: elements that an opening tag ends, and those that bound the search for them.
+_CELLS, _ROWS = frozenset(["td", "th"]), frozenset(["tr"])
+ENDS = {
+    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
+    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "td": (_CELLS, _ROWS | {"table"}),
+    "th": (_CELLS, _ROWS | {"table"}),
+    "tr": (_ROWS, frozenset(["table"])),
+    **dict.fromkeys(["tbody", "thead", "tfoot"], (frozenset(["tbody", "thead", "tfoot"]), frozenset(["table"]))),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
+    **dict.fromkeys(
+        "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split(),
+        (frozenset(["p"]), BLOCK - {"p"}),
+    ),
+}
 #: Elements that may carry a container's meaning; others pass on that of their parent.
 CONTAINER = frozenset("article aside body dialog div footer form header main menu nav ol section table ul figure details fieldset span p".split())
 #: Prior scores a word: what the element or the words of class, id and role say before any page is seen.
@@ -79,6 +96,25 @@ def parse(source: str) -> Page:
     page, stack = Page(), []
     contexts: tuple[str, ...] = ()
     landmark = block = at = 0
+    opened: Counter = Counter()
+
+    def close(k: int) -> None:
+        nonlocal contexts, landmark
+        contexts, landmark = stack[k][1], stack[k][2]
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
+    def end_implied(name: str) -> None:
+        """Close what an opening tag ends: a paragraph before a block, an item before the next one."""
+        over, bound = ENDS.get(name, ((), ()))
+        if any(opened[x] > 0 for x in over):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in over:
+                    return close(k)
+                if stack[k][0] in bound:
+                    return None
+        return None
+
     while m := _TOKEN.match(source, at):
         at = m.end()
         name = m[2]
@@ -91,11 +127,8 @@ def parse(source: str) -> Page:
         name = name.lower()
         block += name in BLOCK
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    contexts, landmark = stack[k][1], stack[k][2]
-                    del stack[k:]
-                    break
+            if opened[name] > 0:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             page.pieces.append(Piece(None, name, contexts, landmark, block))
             continue
         if name in RAW:
@@ -105,10 +138,12 @@ def parse(source: str) -> Page:
             at = end.end() if end else (len(source) if name in ("script", "style", "template", "textarea") else at)
             page.pieces.append(Piece(None, name, contexts, landmark, block))
             continue
+        end_implied(name)
         page.pieces.append(Piece(None, name, contexts, landmark, block))
         if name in VOID or m[3].endswith("/"):
             continue
         stack.append((name, contexts, landmark))
+        opened[name] += 1
         key = context_key(name, m[3])
         if key:
             contexts = (*contexts, key)
@@ -116,6 +151,7 @@ def parse(source: str) -> Page:
             page.landmarks += not landmark
             landmark = page.landmarks
         if len(stack) > 2000:  # unclosed elements without end; the oldest are of no use any more
+            opened.subtract(x[0] for x in stack[1:1000])
             del stack[1:1000]
     return page
 

@@ -63,6 +63,13 @@ def test_lists_of_an_article_stay_where_most_lists_are_menus():
     assert got == "Before.\none\ntwo\nthree\nfour\nfive\nAfter."
 
 
+def test_implied_end_tags():
+    w = H.fit(H.count(PAGE))
+    body = "<article><p class=ad>buy now<p>words of the text<ul><li class=promo>an offer<li>first item<li>second item</ul><table><tr><td class=share>share<td>cell<tr><td>next</table><dl><dt class=ad>x<dd>meaning</dl></article>"
+    assert H.extract(body, w) == "words of the text\nfirst item\nsecond item\ncell\nnext\nmeaning"
+    assert H.extract("<article><div class=ad><p>buy<div>it</div></div><ul><li>a<ul><li>b</ul>c</ul><p>d</article>", w) == "a\nb\nc\nd"
+
+
 def test_broken_and_empty():
     w = H.Weights()
     assert H.extract(None, w) == H.extract("", w) == ""
