@@ -21,6 +21,21 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has (in any case of letters)."""
+    used = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with groups (a row for each key, with its number of rows): keys of over a ten-thousandth of all rows, so fewer than 10,000, are broadcast, and no task takes such a key whole."""
+    hot = groups.filter(F.col(n) > max(1_000, total // 10_000))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 class KeyFilter:
     """A one-hash Bloom filter of `keys` (a long column), built and probed with built-in functions only.
 
@@ -42,19 +57,16 @@ class KeyFilter:
         return F.xxhash64(key).bitwiseAND((1 << self.log2) - 1)
 
     def maybe(self, df: DataFrame, key: str) -> DataFrame:
-        return self.mark(df, key, "_maybe").filter("_maybe").drop("_maybe")
+        name = free("_maybe", df)
+        return self.mark(df, key, name).filter(F.col(name)).drop(name)
 
     def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """df with a boolean: whether the key may be in the filter."""
         slot = self._slot(F.col(key))
         pos = slot.bitwiseAND(PAGE_BITS - 1)
         at = F.shiftright(pos, 3).cast("int")
-        byte = F.conv(F.hex(F.substring("_bits", at + 1, F.lit(1))), 16, 10).cast("bigint")
-        return (
-            df.withColumn("_page", F.shiftright(slot, 15))
-            .join(F.broadcast(self.pages), "_page", "left")
-            .withColumn("_byte", byte)
-            .withColumn("_pos", pos.bitwiseAND(7).cast("int"))
-            .withColumn(name, F.coalesce(F.expr("getbit(_byte, _pos) = 1"), F.lit(False)))
-            .drop("_page", "_bits", "_byte", "_pos")
-        )
+        page, bits = free("_page", df), free("_bits", df)
+        byte = F.conv(F.hex(F.substring(F.col(bits), at + 1, F.lit(1))), 16, 10).cast("bigint")
+        pages = self.pages.select(F.col("_page").alias(page), F.col("_bits").alias(bits))
+        joined = df.withColumn(page, F.shiftright(slot, 15)).join(F.broadcast(pages), page, "left")
+        return joined.withColumn(name, F.coalesce(F.getbit(byte, pos.bitwiseAND(7).cast("int")) == 1, F.lit(False))).drop(page, bits)

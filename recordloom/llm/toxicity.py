@@ -1,19 +1,20 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-P(grade >= k | x) = sigmoid(w.x - cut_k) with one weight vector for all thresholds and rising cuts; the output is
-the expected severity, sum over k of P(grade >= k).  Features are words (runs of letters, lower-cased)
+P(grade >= k | x) = sigmoid(w.x - cut_k) with one weight vector for all thresholds and rising cuts, fitted on the
+likelihood of the observed grades, P(grade = k) = P(grade >= k) - P(grade >= k + 1); the output is the expected
+severity, sum over k of P(grade >= k).  Features are words (runs of letters, lower-cased)
 and the first five and four letters of longer ones, for inflected forms that no label shows: x is log(1 + count) of the
 selected ones.
 
 Grades of the labelled documents: 0 if the label says clean; otherwise 1, 2 or 3 by how many of its words are
 marked, where a word is marked if the smoothed share of toxic documents among the labelled ones that have it
-is at least MARKED_SHARE (no marked word: 1, up to `GRADE_STEPS[0]`: 1, up to `GRADE_STEPS[1]`: 2, more: 3).
+is at least MARKED_SHARE; so grades above 1 are derived from words of the same labels, not judged by people (no marked word: 1, up to `GRADE_STEPS[0]`: 1, up to `GRADE_STEPS[1]`: 2, more: 3).
 
 Fitting takes a bounded sample: about `max_labelled` labelled documents, chosen by a hash of the id.  Word counts
 of the sample are aggregated on the executors; at most `max_features` words and the sample's sparse rows reach
 the driver, both bounded by parameters.  Scoring reads every document whole.
 
-Defined cases: null text has no words; a document without selected words gets the intercepts only; repeated
+Defined cases: null text has no words; very long texts are read whole; null ids are scored but never labelled; a document without selected words gets the intercepts only; repeated
 labels of an id take the largest; null labels are left out; without both classes all documents score 0; an empty table gives
 no rows; other columns of the inputs are ignored.
 """
@@ -30,11 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import free
 from recordloom.session import cut
 
 WORD = re.compile(r"[^\W\d_]+")
 MARKED_SHARE, GRADE_STEPS, GRADES = 0.8, (2, 8), 3
 MAX_LABELLED, MAX_FEATURES, MIN_DOCS = 24_000, 4096, 6
+#: Documents whose words are folded at once while fitting.
+FOLDED = 500
 STEMS = (5, 4)
 
 
@@ -68,6 +72,24 @@ class OrdinalModel:
         return float(p.sum()), float(p[0])
 
 
+def likelihood(z: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood of the observed grades, and its derivatives by each z and each cut.
+
+    With a = P(grade >= own) and b = P(grade > own), the probability of the own grade is a - b.
+    """
+    n, most = len(z), len(cuts)
+    at = np.arange(n)
+    above = np.ones((n, most + 2))
+    above[:, 1:-1] = 1 / (1 + np.exp(np.clip(cuts[None, :] - z[:, None], -50, 50)))
+    above[:, -1] = 0.0
+    a, b = above[at, grades], above[at, grades + 1]
+    p = np.maximum(a - b, 1e-12)
+    by_cut = np.zeros(most + 2)
+    np.add.at(by_cut, grades, a * (1 - a) / p)
+    np.add.at(by_cut, grades + 1, -b * (1 - b) / p)
+    return float(-np.log(p).sum()), a + b - 1, by_cut[1:-1]
+
+
 def fit_ordinal(
     at: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, n_features: int, grades_max: int = GRADES, l2: float = 0.02, steps: int = 400
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +100,9 @@ def fit_ordinal(
     state = [np.zeros(n_features + grades_max), np.zeros(n_features + grades_max)]
     for step in range(1, steps + 1):
         cuts = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        z = np.bincount(at, val * w[col], minlength=len(grades))[:, None]
-        # Likelihood of the cumulative indicators [grade >= k], which share w.
-        p = 1 / (1 + np.exp(np.clip(cuts[None, :] - z, -50, 50)))
-        y = grades[:, None] >= np.arange(1, grades_max + 1)[None, :]
-        err = (p - y) / n
-        gw = np.bincount(col, val * err.sum(1)[at], minlength=n_features) + l2 * w / n
-        gc = -err.sum(0)
+        _, by_z, by_cut = likelihood(np.bincount(at, val * w[col], minlength=len(grades)), cuts, grades)
+        gw = np.bincount(col, val * by_z[at], minlength=n_features) / n + l2 * w / n
+        gc = by_cut / n
         g_first, g_gaps = gc.sum(), np.array([np.exp(gaps[j]) * gc[j + 1 :].sum() for j in range(len(gaps))])
         g = np.concatenate([gw, [g_first], g_gaps])
         state[0] = 0.9 * state[0] + 0.1 * g
@@ -110,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = _sample(docs, labels, id_col, text_col, label_col, max_labelled)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Words of the sample with the numbers of documents and toxic documents, folded by batch."""
-        for b in batches:
+        """Words of the sample with the numbers of documents and toxic documents, folded some documents at a time."""
+        for b in (part.iloc[i : i + FOLDED] for part in batches for i in range(0, len(part), FOLDED)):
             df, dt, n, t = Counter(), Counter(), len(b), int(b.toxic.sum())
             for text, toxic in zip(b.text, b.toxic, strict=True):
                 ws = word_counts(text).keys()
@@ -133,14 +151,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = {r.word for r in picked if (r.t + base) / (r.n + 1) >= MARKED_SHARE}
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (part.iloc[i : i + FOLDED] for part in batches for i in range(0, len(part), FOLDED)):
             ids, values, grades = [], [], []
             for text, toxic in zip(b.text, b.toxic, strict=True):
                 c = word_counts(text)
                 own = [(vocabulary[w], float(np.log1p(k))) for w, k in c.items() if w in vocabulary]
                 hits = sum(k for w, k in c.items() if w in marked)
-                ids.append([i for i, _ in own])
-                values.append([v for _, v in own])
+                ids.append(np.array([i for i, _ in own], np.int32))
+                values.append(np.array([v for _, v in own], np.float32))
                 grades.append((1 + sum(hits > s for s in GRADE_STEPS)) if toxic else 0)
             yield pd.DataFrame({"i": ids, "v": values, "grade": grades})
 
@@ -160,5 +178,6 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
             yield pd.DataFrame({"severity": [a for a, _ in s], "p_toxic": [b for _, b in s]}, dtype="float64")
 
     udf = F.pandas_udf(run, "severity double, p_toxic double")
-    scored = docs.withColumn("_s", udf(F.coalesce(F.col(text_col), F.lit(""))))
-    return scored.withColumns({"severity": F.col("_s")["severity"], "p_toxic": F.col("_s")["p_toxic"], "toxic_pred": F.col("_s")["p_toxic"] >= 0.5}).drop("_s")
+    s = free("_s", docs)
+    scored = docs.withColumn(s, udf(F.coalesce(F.col(text_col), F.lit(""))))
+    return scored.withColumns({"severity": F.col(s)["severity"], "p_toxic": F.col(s)["p_toxic"], "toxic_pred": F.col(s)["p_toxic"] >= 0.5}).drop(s)

@@ -47,3 +47,29 @@ def test_edges(spark):
     assert T.score(docs.limit(0), T.fit(docs, labels)).count() == 0
     empty = T.fit(docs, labels.limit(0))
     assert [r.severity for r in T.score(docs.limit(2), empty).collect()] == [0.0, 0.0]
+
+
+def test_gradient_of_the_likelihood():
+    r = np.random.default_rng(1)
+    z, cuts, grades = r.normal(size=40) * 3, np.array([-0.5, 0.7, 2.0]), r.integers(0, 4, 40)
+    loss, by_z, by_cut = T.likelihood(z, cuts, grades)
+    p = 1 / (1 + np.exp(cuts[None] - z[:, None]))
+    own = np.column_stack([1 - p[:, 0], p[:, 0] - p[:, 1], p[:, 1] - p[:, 2], p[:, 2]])
+    assert abs(loss + np.log(own[np.arange(40), grades]).sum()) < 1e-9
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert abs((T.likelihood(z, cuts + step, grades)[0] - T.likelihood(z, cuts - step, grades)[0]) / 2e-6 - by_cut[k]) < 1e-4
+    for i in range(40):
+        step = np.eye(40)[i] * 1e-6
+        assert abs((T.likelihood(z + step, cuts, grades)[0] - T.likelihood(z - step, cuts, grades)[0]) / 2e-6 - by_z[i]) < 1e-4
+
+
+def test_scores_keep_columns_and_follow_the_model(spark):
+    m = T.OrdinalModel({"bad": 0, "good": 1}, np.array([3.0, -1.0]), np.array([1.0, 2.0, 4.0]))
+    rows = [(1, "bad bad good", "x"), (2, None, "y"), (None, "bad " * 50_000, "z")]
+    got = {r.doc_id: r for r in T.score(spark.createDataFrame(rows, "doc_id long, text string, _s string"), m).collect()}
+    for i, bad, good in ((1, 2, 1), (2, 0, 0), (None, 50_000, 0)):
+        z = 3 * np.log1p(bad) - np.log1p(good)
+        p = 1 / (1 + np.exp(m.cuts - z))
+        assert abs(got[i].severity - p.sum()) < 1e-9 and abs(got[i].p_toxic - p[0]) < 1e-9 and got[i].toxic_pred == (p[0] >= 0.5)
+    assert [got[i]._s for i in (1, 2, None)] == ["x", "y", "z"]
