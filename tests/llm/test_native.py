@@ -13,6 +13,7 @@ from recordloom.llm import decontaminate as D
 from recordloom.llm import exact_dedup as E
 from recordloom.llm import sharding as S
 from recordloom.llm import url_filter as U
+from recordloom.llm.common import join_hot
 from recordloom.llm.rows import keep_rows
 
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -151,8 +152,19 @@ def test_every_rule_is_indexed_by_its_rarest_token():
 
 
 def test_keep_rows(spark):
-    docs = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (2, "b", 0), (3, None, 0)], "doc_id long, text string, _digest int".replace("_digest", "extra"))
-    assert sorted(x.doc_id for x in keep_rows(docs, docs.filter("doc_id = 1").select("doc_id")).collect()) == [2, 2, 3]
-    named = spark.createDataFrame([(2, hashlib.sha256(b"b").hexdigest()), (3, "no")], "doc_id long, digest string")
-    assert sorted(x.doc_id for x in keep_rows(docs, named).collect()) == [1, 2, 3]
-    assert keep_rows(docs, named.limit(0)).count() == 4
+    names = "doc_id long, text string, _id int, _digest int, _k int, _maybe string, _page int, _bits int, _times int, c0 int, n int"
+    own = (7, 8, 9, "m", 1, 2, 3, 4, 5)
+    docs = spark.createDataFrame([(1, "a", *own), (2, "b", *own), (2, "b", *own), (3, None, *own), (None, "b", *own)], names)
+    key = lambda x: (x.doc_id is None, x.doc_id)
+    assert sorted(map(key, keep_rows(docs, docs.filter("doc_id = 1").select("doc_id")).collect())) == [(False, 2), (False, 2), (False, 3), (True, None)]
+    named = spark.createDataFrame([(2, hashlib.sha256(b"b").hexdigest()), (3, "no"), (None, hashlib.sha256(b"b").hexdigest())], "doc_id long, digest string")
+    got = keep_rows(docs, named).collect()
+    assert sorted(x.doc_id for x in got) == [1, 2, 3] and {tuple(x)[2:] for x in got} == {own}
+    assert keep_rows(docs, named.limit(0)).count() == 5 and keep_rows(docs.limit(0), named).count() == 0
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(4000)], "i long, k string")
+    groups = rows.groupBy("k").agg(F.count("i").alias("n"))
+    got = join_hot(rows, groups, "k", "n", 4000)
+    assert got.count() == 4000 and got.select("i").distinct().count() == 4000 and got.filter("k = 'hot'").first().n == 2666
