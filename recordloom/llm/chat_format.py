@@ -5,15 +5,17 @@ A turn is a message.  An assistant turn whose text is a JSON object with `tool_c
 the role `tool` (or any with `tool_call_id`) is the result of the call with that identifier.
 
 * linking - calls and results are joined by (conversation, identifier), a hash or sort-merge join that AQE may
-  split; the first call of an identifier and, for it, the first result count, others are marked as repeated or orphaned;
+  split; the first call of an identifier and the first result of it count.  `mark` says "repeated" of a further result
+  and "orphaned" of one without a call; `n_repeated` counts a turn's calls whose identifier was called before;
 * order - each message gets a topological key (order_turn, order_rank, turn): a result never stands before its
   call, and what stands in order keeps its turn.  The key is computed from the message and its call alone, so
   no conversation is collected or windowed in one task;
 * validation - arguments against the tool's schema: required and known names and types;
 * serialisation - canonical JSON: keys sorted at every level, no blanks, by way of the variant type.
 
-Defined cases: null role or text give JSON nulls; text that is no JSON object is an ordinary message; repeated rows
-are kept; arguments that do not parse are invalid; an empty table gives no rows; other columns of the input are
+Defined cases: null role or text give JSON nulls; text that is no JSON object is an ordinary message, of any length;
+repeated rows are kept, each with the links of one; rows that repeat a turn with another text are messages of their own; null
+conversations are one conversation, null turns come first; arguments that do not parse are invalid; an empty table gives no rows; other columns of the input are
 ignored.
 """
 
@@ -56,50 +58,68 @@ def canonical(json: Column) -> Column:
 
 
 def calls_of(turns: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call: conv_id, turn, call_no, call_id, name, arguments (canonical JSON), problems."""
+    """One row per call of the turns (conv, row, role, text): conv, row, call_no, call_id, name, arguments (canonical JSON), problems."""
     calls = F.from_json(F.to_json(F.try_variant_get("v", "$.tool_calls", "variant")), _CALL)
     c = turns.filter(F.contains("text", F.lit("tool_calls")) & (F.col("role") == "assistant")).withColumn("v", F.try_parse_json("text"))
-    c = c.filter(_kind(F.col("v")) == "OBJECT").select("conv_id", "turn", F.posexplode(calls).alias("call_no", "c"))
+    c = c.filter(_kind(F.col("v")) == "OBJECT").select("conv", "row", F.posexplode(calls).alias("call_no", "c"))
     raw = F.coalesce(F.col("c")["arguments"], F.col("c")["function"]["arguments"])
     # Arguments may be an object or a JSON text of one.
     args = F.when(_kind(raw) == "STRING", F.try_parse_json(F.try_variant_get(raw, "$", "string"))).otherwise(raw)
-    c = c.select("conv_id", "turn", "call_no", F.col("c")["id"].alias("call_id"), F.coalesce(F.col("c")["name"], F.col("c")["function"]["name"]).alias("name"), args.alias("args"))
-    return c.select("conv_id", "turn", "call_no", "call_id", "name", F.to_json("args").alias("arguments"), _problems(schemas, F.col("name"), F.col("args")).alias("problems"))
+    c = c.select("conv", "row", "call_no", F.col("c")["id"].alias("call_id"), F.coalesce(F.col("c")["name"], F.col("c")["function"]["name"]).alias("name"), args.alias("args"))
+    return c.select("conv", "row", "call_no", "call_id", "name", F.to_json("args").alias("arguments"), _problems(schemas, F.col("name"), F.col("args")).alias("problems"))
 
 
 def link(turns: DataFrame, schemas: Schemas | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per turn: conv_id, turn, role, kind (message, calls or result), n_calls, n_answered, n_invalid, linked, order_turn, order_rank and message (canonical JSON)."""
+    """One row per turn: conv_id, turn, role, kind (message, calls or result), n_calls, n_answered, n_repeated, n_invalid, linked, mark, order_turn, order_rank and message (canonical JSON)."""
     t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     looks = F.coalesce(F.contains("text", F.lit("tool_call")), F.lit(False))
-    calls = calls_of(t, schemas or {})
-    named = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
     t = t.withColumn("result_of", F.when(looks, F.try_variant_get(F.try_parse_json("text"), "$.tool_call_id", "string")))
-    answers = t.filter("result_of IS NOT NULL").groupBy("conv_id", F.col("result_of").alias("call_id")).agg(F.min("turn").alias("result_turn"))
-    per_turn = (
-        calls.join(answers, ["conv_id", "call_id"], "left")
-        .groupBy("conv_id", "turn")
+    # Only rows that look like calls or results take part in joins; all others pass by.  Structs are equal where both hold null.
+    special, plain = t.filter(looks), t.filter(~looks)
+    special = special.withColumns({"conv": F.struct("conv_id"), "row": F.struct("turn", F.coalesce("role", F.lit("")).alias("by"), F.sha2("text", 256).alias("digest"))})
+    once = special.dropDuplicates(["conv", "row"])
+    calls = calls_of(once, schemas or {})
+    ids = ["conv", "call_id"]
+    first = calls.filter("call_id IS NOT NULL").groupBy(*ids).agg(F.min(F.struct("row", "call_no")).alias("first_call"))
+    answer = once.filter("result_of IS NOT NULL").groupBy("conv", F.col("result_of").alias("call_id")).agg(F.min("row").alias("first_result"))
+    own = F.col("first_call") == F.struct("row", "call_no")
+    per_row = (
+        calls.join(first, ids, "left")
+        .join(answer, ids, "left")
+        .groupBy("conv", "row")
         .agg(
             F.count(F.lit(1)).alias("n_calls"),
-            F.count("result_turn").alias("n_answered"),
+            F.count_if(own & F.col("first_result").isNotNull()).alias("n_answered"),
+            F.count_if(~own).alias("n_repeated"),
             F.count_if(F.size("problems") > 0).alias("n_invalid"),
             F.array_sort(F.collect_list(F.struct("call_no", F.col("call_id").alias("id"), "name", "arguments", "problems"))).alias("calls"),
         )
     )
-    # Only rows that look like calls or results take part in joins; all others pass by.
-    special, plain = t.filter(looks), t.filter(~looks)
+    of = {"call_id": "result_of"}
     linked = (
-        special.join(per_turn, ["conv_id", "turn"], "left")
-        .join(named.withColumnRenamed("call_id", "result_of"), ["conv_id", "result_of"], "left")
-        .withColumn("n_calls", F.when(F.col("role") == "assistant", F.coalesce("n_calls", F.lit(0))).otherwise(F.lit(0)))
+        special.join(per_row, ["conv", "row"], "left")
+        .join(first.withColumnsRenamed(of), ["conv", "result_of"], "left")
+        .join(answer.withColumnsRenamed(of), ["conv", "result_of"], "left")
+        .withColumns(
+            {
+                **{n: F.coalesce(n, F.lit(0)) for n in _COUNTS},
+                "call_turn": F.col("first_call")["row"]["turn"],
+                "linked": F.col("first_call").isNotNull(),
+                "mark": F.when(F.col("result_of").isNull(), None).when(F.col("first_call").isNull(), "orphaned").when(F.col("first_result") != F.col("row"), "repeated"),
+            }
+        )
     )
-    empty = {"n_calls": F.lit(0).cast("bigint"), "n_answered": F.lit(0).cast("bigint"), "n_invalid": F.lit(0).cast("bigint"), "calls": F.lit(None).cast(per_turn.schema["calls"].dataType), "call_turn": F.lit(None).cast(t.schema["turn"].dataType)}
-    every = linked.select(*t.columns, *empty).unionByName(plain.withColumns(empty).select(*t.columns, *empty))
-    return _format(every)
+    extra = [*_COUNTS, "calls", "call_turn", "linked", "mark"]
+    none = {n: F.lit(0).cast("bigint") for n in _COUNTS} | {"calls": F.lit(None).cast(per_row.schema["calls"].dataType), "call_turn": F.lit(None).cast(t.schema["turn"].dataType), "linked": F.lit(False), "mark": F.lit(None).cast("string")}
+    return _format(linked.select(*t.columns, *extra).unionByName(plain.withColumns(none).select(*t.columns, *extra)))
+
+
+_COUNTS = ("n_calls", "n_answered", "n_repeated", "n_invalid")
 
 
 def _format(df: DataFrame) -> DataFrame:
     is_call, is_result = F.col("n_calls") > 0, F.col("result_of").isNotNull()
-    linked = is_result & F.col("call_turn").isNotNull()
+    linked = is_result & F.col("linked")
     body = F.try_parse_json("text")
     call_list = F.transform("calls", lambda c: F.struct(c["arguments"].alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
     message = (
@@ -112,10 +132,9 @@ def _format(df: DataFrame) -> DataFrame:
         "turn",
         "role",
         F.when(is_call, "calls").when(is_result, "result").otherwise("message").alias("kind"),
-        F.col("n_calls").cast("bigint").alias("n_calls"),
-        F.coalesce("n_answered", F.lit(0)).cast("bigint").alias("n_answered"),
-        F.coalesce("n_invalid", F.lit(0)).cast("bigint").alias("n_invalid"),
+        *[F.col(n).cast("bigint").alias(n) for n in _COUNTS],
         linked.alias("linked"),
+        "mark",
         F.when(linked, F.greatest("turn", "call_turn")).otherwise(F.col("turn")).alias("order_turn"),
         F.when(linked, 1).otherwise(0).alias("order_rank"),
         canonical(message).alias("message"),

@@ -85,5 +85,28 @@ def test_order_and_canonical_json(spark):
     assert json.loads(json.loads(got[1].message)["tool_calls"][0]["arguments"]) == {"a": 1, "b": 1.5}
 
 
+def test_repeats_orphans_and_null_conversations(spark):
+    call = _calls(_call("a"), _call("b"))
+    rows = [
+        (1, 0, "assistant", call, "k"), (1, 0, "assistant", call, "k"), (1, 1, "tool", _result("a", "first"), "k"), (1, 1, "tool", _result("a", "first"), "k"), (1, 2, "tool", _result("a", "again"), "k"),
+        (1, 3, "tool", _result("z"), "k"), (1, 4, "assistant", _calls(_call("b"), _call("c")), "k"), (1, 0, "assistant", _calls(_call("d")), "k"),
+        (None, 0, "assistant", _calls(_call("q")), "k"), (None, 1, "tool", _result("q"), "k"), (None, None, "tool", _result("q", "x"), "k"), (2, None, "user", "hi", "k"),
+    ]
+    got = sorted(((x.conv_id or 0, -1 if x.turn is None else x.turn, x.n_calls, x.n_answered, x.n_repeated, x.linked, x.mark or "") for x in C.link(spark.createDataFrame(rows, SCHEMA), TOOLS).collect()))
+    assert got == sorted([
+        (1, 0, 2, 1, 0, False, ""), (1, 0, 2, 1, 0, False, ""), (1, 1, 0, 0, 0, True, ""), (1, 1, 0, 0, 0, True, ""), (1, 2, 0, 0, 0, True, "repeated"), (1, 3, 0, 0, 0, False, "orphaned"),
+        (1, 4, 2, 0, 1, False, ""), (1, 0, 1, 0, 0, False, ""), (0, 0, 1, 1, 0, False, ""), (0, 1, 0, 0, 0, True, "repeated"), (0, -1, 0, 0, 0, True, ""), (2, -1, 0, 0, 0, False, ""),
+    ])
+
+
+def test_the_query_links_calls(spark, tmp_path):
+    from recordloom.llm.queries import op6_chat_format
+
+    rows = [(1, 0, "user", "find it", "k"), (1, 1, "tool", _result("s"), "k"), (1, 2, "assistant", _calls(_call("s", "search", {"query": "it", "limit": 3}), _call("t", "search", {"limit": "3"})), "k")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {x.turn: x for x in op6_chat_format(spark, str(tmp_path)).collect()}
+    assert got[1].linked and (got[1].order_turn, got[1].order_rank) == (2, 1) and (got[2].n_calls, got[2].n_answered, got[2].n_invalid) == (2, 1, 1)
+
+
 def test_empty(spark):
     assert C.link(spark.createDataFrame([], SCHEMA), TOOLS).count() == 0

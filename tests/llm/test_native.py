@@ -128,10 +128,10 @@ def test_shards(spark):
 
 
 def test_urls(spark):
-    lines = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/", "block a.b/", "block x.y/q.*/"]
+    lines = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/", "block a.b/", "block x.y/q.*/", "block whole.host"]
     rules = [U.parse_rule(x) for x in lines]
-    urls = ["http://Www.Example.COM/en/742?x#y", "https://example.com/en/8", "ftp://m.example.net/de/81", "http://notexample.net/de/8", "http://e.org/es", "http://e.org/es/", "no url", None, "://", "http://a.b", "http://a.b/", "http://h.com:80/en/", "http://x.y/q.*/z", "http://x.y/qqq/z", "http://com/en/#://net/de/", "http://e.com\n/en/", "http://e.com/en/\n", "x" * 100_000]
-    df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    urls = ["http://Www.Example.COM/en/742?x#y", "https://example.com/en/8", "ftp://m.example.net/de/81", "http://notexample.net/de/8", "http://e.org/es", "http://e.org/es/", "no url", None, "://", "http://a.b", "http://a.b/", "http://h.com:80/en/", "http://x.y/q.*/z", "http://x.y/qqq/z", "http://com/en/#://net/de/", "http://e.com\n/en/", "http://e.com/en/\n", "x" * 100_000, "http://a\n.com/en/1", "http://c\nom/en/", "http://s.whole.host", "http://whole.host/any", "http://whole.hostile/any"]
+    df = spark.createDataFrame([(i, u, "r", 7) for i, u in enumerate(urls)], "page_id long, url string, rule string, _at int")
     got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in U.filter_urls(df, rules).collect()}
     for i, u in enumerate(urls):
         host = path = ""
@@ -142,6 +142,9 @@ def test_urls(spark):
             host = host.lower()
         best = max((r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda r: len(r.text), default=None)
         assert got[i] == (host, path, best and best.text, best.action if best else "allow"), u
+    assert {x._at for x in U.filter_urls(df, rules).collect()} == {7}
+    many = [U.parse_rule(f"block h{i}.example/{i % 9}/") for i in range(3000)] + rules
+    assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in U.filter_urls(df, many).collect()} == got
     assert U.filter_urls(df.limit(0), rules).count() == 0 and U.filter_urls(df, []).filter("verdict = 'allow'").count() == len(urls)
 
 
