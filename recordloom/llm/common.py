@@ -53,6 +53,17 @@ class KeyFilter:
             .agg(F.bitmap_construct_agg(F.col("_s").bitwiseAND(PAGE_BITS - 1)).alias("_bits"))
         )
 
+    def saved(self) -> DataFrame:
+        """The filter as rows to write: log2, _page, _bits."""
+        return self.pages.select(F.lit(self.log2).alias("log2"), "_page", "_bits")
+
+    @classmethod
+    def of_pages(cls, saved: DataFrame) -> KeyFilter:
+        out = cls.__new__(cls)
+        first = saved.select("log2").first()
+        out.log2, out.pages = first.log2 if first else 15, saved.drop("log2")
+        return out
+
     def _slot(self, key: Column) -> Column:
         return F.xxhash64(key).bitwiseAND((1 << self.log2) - 1)
 

@@ -83,6 +83,27 @@ def test_exact_dedup(spark):
             seen[t] += x.kept
         assert set(seen.values()) == {1}
     assert E.exact_dedup(df.limit(0)).count() == 0
+    null = spark.createDataFrame([(None, "a"), (4, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
+    for keep in ("min", "max"):
+        assert sorted((x.doc_id or 0, x.keep_id or 0, x.group_size, x.kept) for x in E.exact_dedup(null, keep=keep).collect()) == [(0, 0, 2, False), (0, 0, 2, True), (0, 4, 2, False), (4, 4, 2, True)]
+
+
+def test_an_index_takes_batch_after_batch(spark, tmp_path):
+    batches = [[(1, "a"), (2, "b"), (2, "b"), (None, "n")], [(3, "a"), (4, "c"), (0, "b"), (5, "n"), (6, None)], [], [(7, "c"), (8, ""), (9, "d"), (1, "a")]]
+    for keep, pick in (("min", min), ("max", max)):
+        ids, before = defaultdict(list), 0
+        for k, rows in enumerate(batches):
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+            for d, t in rows:
+                ids[t or ""].append(d)
+            got = E.exact_dedup(df, keep=keep, index_path=str(tmp_path / keep)).collect()
+            best = {t: pick([d for d in v if d is not None], default=None) for t, v in ids.items()}
+            assert sorted((x.doc_id or -1, x.keep_id or -1, x.group_size, x.text_sha256) for x in got) == sorted(
+                (d or -1, best[t or ""] or -1, len(ids[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows
+            )
+            # A row stays if the best id is one of this batch and no earlier row has it.
+            new = {t or "" for d, t in rows if d == best[t or ""] and [x for b in batches[:k] for x in b].count((d, t)) == 0}
+            assert sorted(x.text_sha256 for x in got if x.kept) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in new)
 
 
 def test_clashing_digests_are_told_apart_by_bytes(spark, monkeypatch):
