@@ -1,48 +1,43 @@
-"""Duplicate records: documents stand for captured items (hash of the text; lang, source and first words as key)."""
+"""Duplicate records: documents stand for captured items (hash of the text; lang, source and the whole text without its case and blanks as key)."""
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from recordloom.operators import duplicates, mutate
 from recordloom.plans.registry import query
 from recordloom.sources.readers import table
 
-_HEAD = "substr(lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))), 1, 12)"
+_PLAIN = "lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')))"
 _KEYS = f"""
     SELECT doc_id AS id, 'img' AS family, sha256(text) AS key FROM documents
-    UNION ALL SELECT doc_id, 'txt', lang || '/' || source || '/' || {_HEAD} FROM documents WHERE length({_HEAD}) >= 8 AND doc_id % 10 <> 3"""
+    UNION ALL SELECT doc_id, 'txt', lang || '/' || source || '/' || sha256({_PLAIN}) FROM documents WHERE length({_PLAIN}) >= 8"""
 _COMPONENTS = f"""
     WITH RECURSIVE keys AS MATERIALIZED ({_KEYS}), e AS MATERIALIZED (SELECT DISTINCT a.id AS x, b.id AS y FROM keys a JOIN keys b ON a.family = b.family AND a.key = b.key AND a.id <> b.id),
     r(id, label) AS (SELECT x, x FROM e UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.id) SELECT id, min(label) AS component FROM r GROUP BY id"""
 
 
-def _edges(spark, d, whole=False):
+def _edges(spark, d):
     doc = table(spark, d, "documents")
-    if whole:  # the whole text beside lang and source; a missing field or a short text has no key
-        text = F.lower(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
-        key = F.when(F.length(text) >= 8, F.concat("lang", F.lit("/"), "source", F.lit("/"), F.sha2(text, 256)))
-        return duplicates.key_edges(doc, "doc_id", {"img": F.sha2("text", 256), "txt": key})
-    head = F.substring(F.lower(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))), 1, 12)
-    key = F.when((F.length(head) >= 8) & (F.col("doc_id") % 10 != 3), F.concat_ws("/", "lang", "source", head))
+    text = F.lower(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
+    # A missing field or a short text has no key.
+    key = F.when(F.length(text) >= 8, F.concat("lang", F.lit("/"), "source", F.lit("/"), F.sha2(text, 256)))
     return duplicates.key_edges(doc, "doc_id", {"img": F.sha2("text", 256), "txt": key})
 
 
-def _members(spark, d, whole=False):
+def _members(spark, d):
     doc = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
     approved = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("ok"))
-    return duplicates.groups(_edges(spark, d, whole)).join(doc, "id").join(approved, "id", "left").withColumn("approved", F.coalesce("ok", F.lit(False))).drop("ok")
+    return duplicates.groups(_edges(spark, d)).join(doc, "id").join(approved, "id", "left").withColumn("approved", F.coalesce("ok", F.lit(False))).drop("ok")
 
 
 _MEMBERS = f"SELECT c.id, component, lang, source, n_chars, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.id AND quality = 1) AS approved FROM ({_COMPONENTS}) c JOIN documents ON doc_id = c.id"
 
 
-@query("SELECT doc_id, count(*) OVER (PARTITION BY text ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS pos FROM documents WHERE doc_id % 2 = 0")
-def batch_first_wins(spark, d, whole=False):
+@query("SELECT doc_id, count(*) OVER (PARTITION BY text ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS pos FROM documents")
+def batch_first_wins(spark, d):
     """U03"""
-    doc = table(spark, d, "documents").filter(F.lit(whole) | (F.col("doc_id") % 2 == 0)).select("doc_id", F.sha2("text", 256).alias("sha"))
+    doc = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
     return duplicates.first_wins(doc, "sha", [F.asc("doc_id")]).select("doc_id", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -56,27 +51,27 @@ def hash_gate_first_wins(spark, d):
 
 
 @query(f"WITH keys AS ({_KEYS}) SELECT DISTINCT id FROM keys JOIN (SELECT family, key FROM keys GROUP BY 1, 2 HAVING count(DISTINCT id) > 1) USING (family, key)")
-def dup_candidates_union(spark, d, whole=False):
-    return duplicates.candidates(_edges(spark, d, whole))
+def dup_candidates_union(spark, d):
+    return duplicates.candidates(_edges(spark, d))
 
 
 @query(f"WITH keys AS ({_KEYS}) SELECT family, min(id) OVER w AS first, id FROM keys WINDOW w AS (PARTITION BY family, key) QUALIFY id <> min(id) OVER w")
-def same_record_pairs(spark, d, whole=False):
+def same_record_pairs(spark, d):
     """Every record beside the first one of each key that they share; the pairs of a key follow from it."""
-    return duplicates.shared_keys(_edges(spark, d, whole)).filter("id <> first").select("family", "first", "id")
+    return duplicates.shared_keys(_edges(spark, d)).filter("id <> first").select("family", "first", "id")
 
 
 @query(_COMPONENTS)
-def dup_components(spark, d, whole=False):
-    return duplicates.groups(_edges(spark, d, whole)).select("id", "component")
+def dup_components(spark, d):
+    return duplicates.groups(_edges(spark, d)).select("id", "component")
 
 
 @query(f"""
     SELECT component, count(*) AS size, count(*) FILTER (approved) AS approved, min(id) FILTER (approved) AS keeper, count(*) - 1 AS surplus,
            CASE WHEN count(*) FILTER (approved) >= 2 THEN 'approved_dups' WHEN count(*) FILTER (approved) = 1 THEN 'clearable' ELSE 'untouched' END AS pile
     FROM ({_MEMBERS}) GROUP BY 1""")
-def dup_keeper_and_surplus(spark, d, whole=False):
-    return duplicates.report(_members(spark, d, whole).withColumn("created", F.col("id")), F.col("approved"), "created")
+def dup_keeper_and_surplus(spark, d):
+    return duplicates.report(_members(spark, d).withColumn("created", F.col("id")), F.col("approved"), "created")
 
 
 _FIELDS = {"lang": "lang", "source": "source", "n_chars": "n_chars"}
@@ -85,16 +80,16 @@ _FIELDS = {"lang": "lang", "source": "source", "n_chars": "n_chars"}
 @query(f"""
     SELECT component, array_to_string(list_filter([CASE WHEN count(DISTINCT lang) > 1 THEN 'lang' END, CASE WHEN count(DISTINCT n_chars) > 1 THEN 'n_chars' END, CASE WHEN count(DISTINCT source) > 1 THEN 'source' END], lambda x: x IS NOT NULL), ',') AS clash_fields,
            count(DISTINCT lang) = 1 AND count(DISTINCT n_chars) = 1 AND count(DISTINCT source) = 1 AS identical FROM ({_MEMBERS}) GROUP BY 1""")
-def dup_clash_fields(spark, d, whole=False):
-    out = duplicates.clashes(_members(spark, d, whole), {k: F.col(c) for k, c in _FIELDS.items()})
+def dup_clash_fields(spark, d):
+    out = duplicates.clashes(_members(spark, d), {k: F.col(c) for k, c in _FIELDS.items()})
     return out.withColumn("clash_fields", F.array_join("clash_fields", ","))
 
 
 @query(f"""
     WITH m AS ({_MEMBERS}), g AS (SELECT component, min(id) AS keep FROM m GROUP BY 1 HAVING count(DISTINCT lang) = 1 AND count(DISTINCT n_chars) = 1 AND count(DISTINCT source) = 1)
     SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM m JOIN g USING (component) WHERE id <> keep)""")
-def bulk_resolve_identical(spark, d, whole=False):
-    m = _members(spark, d, whole).withColumn("created", F.col("id"))
+def bulk_resolve_identical(spark, d):
+    m = _members(spark, d).withColumn("created", F.col("id"))
     doc = table(spark, d, "documents").select("doc_id")
     return duplicates.resolve(doc, m, "doc_id", "created", {k: F.col(c) for k, c in _FIELDS.items()})
 
@@ -102,10 +97,10 @@ def bulk_resolve_identical(spark, d, whole=False):
 @query(f"""
     WITH keys AS ({_KEYS}), a AS (SELECT doc_id AS id FROM labels WHERE quality = 1), o AS (SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM a))
     SELECT x.id, min(k.id) AS superseded_by FROM keys x JOIN o ON x.id = o.id JOIN keys k ON x.family = k.family AND x.key = k.key JOIN a ON k.id = a.id GROUP BY 1""")
-def mark_superseded(spark, d, whole=False):
+def mark_superseded(spark, d):
     ids = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
     open_records = table(spark, d, "documents").select(F.col("doc_id").alias("id")).join(ids, "id", "left_anti")
-    return duplicates.superseded_by(_edges(spark, d, whole), ids.withColumn("created", F.col("id")), open_records)
+    return duplicates.superseded_by(_edges(spark, d), ids.withColumn("created", F.col("id")), open_records)
 
 
 @query("""
@@ -116,8 +111,3 @@ def upsert_ignore_conflict(spark, d):
     doc = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
     state = doc.filter("doc_id % 2 = 0").withColumn("origin", F.lit("kept"))
     return mutate.insert_ignore(state, doc.filter("doc_id % 2 = 1").withColumn("origin", F.lit("new")), ["sha"], "doc_id")
-
-
-#: Over the whole tables: the SQL of these queries leaves documents or keys out, so the whole job has names of its own and no oracle.
-for _f in (batch_first_wins, dup_candidates_union, same_record_pairs, dup_components, dup_keeper_and_surplus, dup_clash_fields, bulk_resolve_identical, mark_superseded):
-    query(name=f"{_f.__name__}_all")(partial(_f, whole=True))

@@ -226,15 +226,15 @@ def leaderboard(spark, d):
 
 
 @query(f"""
-    WITH f AS (SELECT item_id, model, CASE WHEN got = '' THEN '' ELSE substr(got, 1, 30) END AS name, '' AS tel, cost FROM ({_READS}) WHERE variant = 'crop'),
-    s AS (SELECT item_id, model, substr(got, 1, 20) AS name, '' AS tel, cost FROM ({_READS}) WHERE variant = 'raw' AND item_id % 3 <> 0)
+    WITH f AS (SELECT item_id, model, got AS name, '' AS tel, cost FROM ({_READS}) WHERE variant = 'crop'),
+    s AS (SELECT item_id, model, got AS name, '' AS tel, cost FROM ({_READS}) WHERE variant = 'raw' AND item_id % 3 <> 0)
     SELECT f.item_id, f.model, CASE WHEN f.name = '' AND s.name <> '' THEN s.name ELSE f.name END AS name, '' AS tel, round(f.cost + CASE WHEN f.name = '' THEN coalesce(s.cost, 0) ELSE 0 END, 6) AS cost,
            coalesce(f.name = '' AND s.name <> '', false) AS rescued
     FROM f LEFT JOIN s USING (item_id, model)""")
 def fallback_read(spark, d):
     r = _reads(spark, d).withColumn("tel", F.lit(""))
-    first = r.filter("variant = 'crop'").select("item_id", "model", F.substring("got", 1, 30).alias("name"), "tel", "cost")
-    second = r.filter("variant = 'raw' AND item_id % 3 <> 0").select("item_id", "model", F.substring("got", 1, 20).alias("name"), "tel", "cost")
+    first = r.filter("variant = 'crop'").select("item_id", "model", F.col("got").alias("name"), "tel", "cost")
+    second = r.filter("variant = 'raw' AND item_id % 3 <> 0").select("item_id", "model", F.col("got").alias("name"), "tel", "cost")
     out = scoring.with_fallback(first, second, ["item_id", "model"], ["name", "tel"], ["cost"])
     return out.withColumn("cost", F.round("cost", 6)).withColumn("rescued", F.coalesce("rescued", F.lit(False)))
 

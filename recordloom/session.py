@@ -28,13 +28,17 @@ def get_session(app: str = "recordloom", master: str | None = None, **conf: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, a temporary one on a single machine, and an error on a cluster."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
     if root:
         return root
     root = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="recordloom-"))
+    if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        root = tempfile.mkdtemp(prefix="recordloom-")
+    sc.setCheckpointDir(root)
     return sc.getCheckpointDir()
 
 
