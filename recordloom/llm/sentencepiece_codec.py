@@ -22,6 +22,7 @@ give repeated results, null ids are kept; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,14 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.shingling import flat_bytes, slices
+from recordloom.llm.shingling import flat_bytes, release, slices
 
 MARK = "▁"
 #: Fixed values of the public model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text of a slice, words of a sequence, and sequences of a batch; they bound the memory of a worker.
-SLICE_BYTES, SEQUENCE, BATCH = 8_000_000, 512, 256
+SLICE_BYTES, SEQUENCE, BATCH = 4_000_000, 512, 64
+#: Threads of the tokenizers library in a worker, where its own variable does not say otherwise.
+THREADS = 2
 
 
 @dataclass
@@ -306,12 +309,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, ids, n_tokens, round_trip (decoding gives the text) and parity (equals the sentencepiece library; null if not asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         for b in batches:
             for i, part in slices(b.column(1), SLICE_BYTES):
                 e = codec(path, part, parity)
                 same = pa.array(e.same) if parity else pa.nulls(len(part), pa.bool_())
                 lists = pa.ListArray.from_arrays(pa.array(e.at, pa.int32()), pa.array(e.ids))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), lists, pa.array(np.diff(e.at)), pa.array(e.back), same], ["doc_id", "ids", "n_tokens", "round_trip", "parity"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens bigint, round_trip boolean, parity boolean")

@@ -6,6 +6,7 @@ eight at a time; a shingle's hash mixes those of WORDS consecutive words.  A tex
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,14 @@ _IS_WORD[ord("0") : ord("9") + 1] = _IS_WORD[ord("a") : ord("z") + 1] = _IS_WORD
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: a worker that is used again would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A published 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.sentencepiece_codec import USER_DEFINED, read_model
+
 CHUNK, OVERLAP = 16_384, 512
 MARK = "▁"
 
@@ -44,13 +46,12 @@ def load(path: str):
 
 @lru_cache(maxsize=4)
 def cuts_before_space(path: str) -> bool:
-    """Whether no piece has the space mark after another character, and text is taken as it is (no normalisation)."""
+    """Whether no piece has the space mark after another character, and text is taken as it is behind one blank: all read from the model file."""
     if not path.endswith(".model"):
         return False
-    sp = load(path)
-    pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    identity = sp.encode("Aﬁ  B ", return_type=str) and sp.decode(sp.encode("Aﬁ  B ")) == "Aﬁ  B "
-    return bool(identity) and not any(MARK in p.lstrip(MARK) for p in pieces)
+    m = read_model(path)
+    taken = not m.charsmap and not m.remove_extra_whitespaces and m.add_dummy_prefix and m.escape_whitespaces
+    return taken and not any(MARK in p.lstrip(MARK) or k == USER_DEFINED for p, _, k in m.pieces)
 
 
 def count_whole(path: str, texts: list[str]) -> list[int]:

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import free
+from recordloom.llm.shingling import release
 from recordloom.session import cut
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -137,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if toxic:
                     dt.update(ws)
             yield pd.DataFrame({"word": ["", *df], "n": [n, *df.values()], "t": [t, *(dt[w] for w in df)]})
+        release()
 
     per_word = cut(sample.select("text", "toxic").mapInPandas(pairs, "word string, n bigint, t bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
     total = per_word.filter("word = ''").collect()
@@ -161,11 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 values.append(np.array([v for _, v in own], np.float32))
                 grades.append((1 + sum(hits > s for s in GRADE_STEPS)) if toxic else 0)
             yield pd.DataFrame({"i": ids, "v": values, "grade": grades})
+        release()
 
     got = sample.select("text", "toxic").mapInPandas(vectors, "i array<int>, v array<float>, grade int").toPandas()
-    sizes = got.i.map(len).to_numpy()
-    col, val = (np.concatenate([*got[c], np.zeros(0)]) for c in "iv")
-    weights, cuts = fit_ordinal(np.repeat(np.arange(len(got)), sizes), col.astype(np.int64), val, got.grade.to_numpy(), len(vocabulary))
+    grades, at = got.grade.to_numpy(), np.repeat(np.arange(len(got), dtype=np.int32), got.i.map(len).to_numpy())
+    col, val = (np.concatenate([*got.pop(c), np.zeros(0, kind)]) for c, kind in (("i", np.int32), ("v", np.float32)))
+    weights, cuts = fit_ordinal(at, col, val, grades, len(vocabulary))
     return OrdinalModel(vocabulary, weights, cuts)
 
 
@@ -176,6 +179,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
         for texts in batches:
             s = [model.score(t) for t in texts]
             yield pd.DataFrame({"severity": [a for a, _ in s], "p_toxic": [b for _, b in s]}, dtype="float64")
+        release()
 
     udf = F.pandas_udf(run, "severity double, p_toxic double")
     s = free("_s", docs)
