@@ -2,6 +2,11 @@
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes
 as Parquet and reads again as the next one's docs.  All but the last return the columns of docs.
+
+Defined cases, in every stage: null text counts as empty and is kept unless it repeats; very long texts are read whole; null
+ids are ids like any others; ties go to the largest id in `exact` and to the smallest in `near`, and one of repeated rows
+stays; an empty table passes through as an empty table; further columns of docs keep their names and values, but in the last
+stage, which returns its own.
 """
 
 from __future__ import annotations
