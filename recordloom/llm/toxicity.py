@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sample.select("text", "toxic").mapInPandas(vectors, "i array<int>, v array<float>, grade int").toPandas()
     grades, at = got.grade.to_numpy(), np.repeat(np.arange(len(got), dtype=np.int32), got.i.map(len).to_numpy())
-    col, val = (np.concatenate([*got.pop(c), np.zeros(0, kind)]) for c, kind in (("i", np.int32), ("v", np.float32)))
+    col, val = (np.concatenate([*got.pop(c), np.zeros(0)], dtype=kind, casting="unsafe") for c, kind in (("i", np.int32), ("v", np.float32)))
     weights, cuts = fit_ordinal(at, col, val, grades, len(vocabulary))
     return OrdinalModel(vocabulary, weights, cuts)
 

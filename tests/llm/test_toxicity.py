@@ -49,6 +49,13 @@ def test_edges(spark):
     assert [r.severity for r in T.score(docs.limit(2), empty).collect()] == [0.0, 0.0]
 
 
+def test_labelled_documents_without_features(spark):
+    """Rows of the sample without any selected word leave empty arrays."""
+    rows = _docs(80) + [(900 + i, t, 0) for i, t in enumerate(["", None, "zz"])]
+    m = T.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(m.cuts) == T.GRADES
+
+
 def test_gradient_of_the_likelihood():
     r = np.random.default_rng(1)
     z, cuts, grades = r.normal(size=40) * 3, np.array([-0.5, 0.7, 2.0]), r.integers(0, 4, 40)
