@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 #: Bits of the largest key filter: 2**27 bits are 16 MB, whatever the number of keys.
 MAX_FILTER_LOG2 = 27
 PAGE_BITS = 32768
+#: Rows of a batch that goes to a Python worker.  Texts have some kilobytes each, and both sides hold a batch outside of the heap.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import bound_batches
+
 MAX_PAGES = 2_000
 #: The most that a run of words in containers of negative weight takes from a region around it.
 INSET_COST = 8.0
@@ -316,5 +318,6 @@ def extract_pages(pages: DataFrame, weights: Weights, html_col: str = "html") ->
         for b in batches:
             yield pd.Series([extract(h, weights) for h in b], dtype=object)
 
+    bound_batches(pages.sparkSession)
     out = pages.withColumn("text", F.pandas_udf(run, "string")(F.coalesce(F.col(html_col), F.lit(""))))
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import bound_batches
 from recordloom.llm.shingling import flat_bytes, release, slices
 
 MARK = "▁"
@@ -318,6 +319,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), lists, pa.array(np.diff(e.at)), pa.array(e.back), same], ["doc_id", "ids", "n_tokens", "round_trip", "parity"])
         release()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens bigint, round_trip boolean, parity boolean")
 

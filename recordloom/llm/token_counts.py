@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import bound_batches
 from recordloom.llm.sentencepiece_codec import USER_DEFINED, read_model
 
 CHUNK, OVERLAP = 16_384, 512
@@ -148,6 +149,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     small, size = [], 0
             yield pd.Series(out, dtype="int64")
 
+    bound_batches(docs.sparkSession)
     n_tokens = F.pandas_udf(counts, "long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), n_tokens("text").alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)

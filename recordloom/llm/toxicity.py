@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import free
+from recordloom.llm.common import bound_batches, free
 from recordloom.llm.shingling import release
 from recordloom.session import cut
 
@@ -126,6 +126,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> OrdinalModel:
+    bound_batches(docs.sparkSession)
     sample = _sample(docs, labels, id_col, text_col, label_col, max_labelled)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,6 +183,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
         release()
 
     udf = F.pandas_udf(run, "severity double, p_toxic double")
+    bound_batches(docs.sparkSession)
     s = free("_s", docs)
     scored = docs.withColumn(s, udf(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumns({"severity": F.col(s)["severity"], "p_toxic": F.col(s)["p_toxic"], "toxic_pred": F.col(s)["p_toxic"] >= 0.5}).drop(s)
