@@ -104,7 +104,7 @@ def hit_positions(dw: Column, dg: Column, iw: Column, ig: Column, anchors: Colum
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted), hit_at (sorted word positions), contaminated (a twentieth of its words or more are hit)."""
+    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted), hit_at (sorted word positions), text_sha256, contaminated (a twentieth of its words or more are hit)."""
     items = cut(_items(benchmark, item_col, item_text_col))
     n_item = F.size("iw")
     few = items.agg(F.min(F.when(n_item >= K, n_item)).alias("least"), F.array_sort(F.collect_set(F.when(n_item < K, n_item))).alias("tiny")).first()
@@ -119,7 +119,7 @@ def decontaminate(
     hashed = base.select("doc_id", "digest", words(F.col("text")).alias("dw")).select("doc_id", "digest", F.size("dw").cast("bigint").alias("n_words"), word_hashes(F.col("dw")).alias("hw"))
     none = [F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<int>").alias("hit_at")]
     if not n_anchors:
-        out = hashed.select("doc_id", "n_words", *none)
+        out = hashed.select("doc_id", "n_words", *none, F.lower(F.hex("digest")).alias("text_sha256"))
     else:
         marks = ([_let(grams(F.col("hw")), lambda g: fingerprints(g, width))] if few["least"] else []) + [grams(F.col("hw"), m) for m in tiny]
         read = cut(hashed.select("doc_id", "digest", "n_words", F.array_distinct(F.concat(*marks)).alias("marks")))
@@ -150,5 +150,6 @@ def decontaminate(
             F.coalesce(F.size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"),
             F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
             F.coalesce("hit_at", F.array().cast("array<int>")).alias("hit_at"),
+            F.lower(F.hex(read.digest)).alias("text_sha256"),
         )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
