@@ -46,7 +46,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is in passages of the benchmark."""
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return keep_rows(docs, judged.filter("contaminated").select("doc_id"))
+    return keep_rows(docs, judged.filter("contaminated").select("doc_id", F.col("text_sha256").alias("digest")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
