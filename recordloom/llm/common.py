@@ -10,13 +10,16 @@ MAX_FILTER_LOG2 = 27
 PAGE_BITS = 32768
 #: Rows of a batch that goes to a Python worker.  Texts have some kilobytes each, and both sides hold a batch outside of the heap.
 BATCH_ROWS = 1_000
+#: Bytes of such a batch, beyond which it takes no further row: long texts come a few at a time.
+BATCH_BYTES = 4_000_000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows of an Arrow batch to BATCH_ROWS, if they are more."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Lower the session's rows and bytes of an Arrow batch to BATCH_ROWS and BATCH_BYTES, if they are more."""
+    for kind, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.max{kind}PerBatch"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -56,5 +56,15 @@ def test_stages_and_run(spark, tmp_path):
         assert stage(spark, table.limit(0), d).columns == table.columns
 
 
+def test_contamination_goes_by_id_and_text(spark, tmp_path):
+    """A clean text stays beside a contaminated one of the same id, null ids too."""
+    d = str(tmp_path / "sf")
+    passage = " ".join(_text(np.random.default_rng(5), 20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = [(i, t, "en", "s", 0) for i in (1, None) for t in (passage, "quite another text", None)]
+    got = corpus_pipeline.contamination(spark, spark.createDataFrame(rows, COLUMNS), d).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(i, t) for i in (0, 1) for t in ("", "quite another text")]
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact", "near", "contamination", "sentencepiece"]
