@@ -17,8 +17,10 @@ from recordloom.llm.near_dedup import near_duplicates
 from recordloom.llm.sentencepiece_codec import encode
 from recordloom.llm.sharding import shard
 from recordloom.llm.token_counts import token_counts
-
+from recordloom.llm.token_files import documents as documents_of_files
+from recordloom.llm.token_files import write_token_files
 from recordloom.llm.url_filter import filter_urls, parse_rule
+from recordloom.session import scratch_path
 
 #: The rules that the contract of op5 states.
 URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
@@ -86,6 +88,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by word_bpe_49k.json, written as wavelet files in the order of doc_id and read back."""
+    folder = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder, end_id=2)
+    return documents_of_files(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -97,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_files": op11_token_files,
 }
 
 _W = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
