@@ -21,6 +21,7 @@ from recordloom.llm.token_counts import token_counts
 from recordloom.llm.token_files import documents as documents_of_files
 from recordloom.llm.token_files import write_token_files
 from recordloom.llm.url_filter import filter_urls, parse_rule
+from recordloom.llm.whitening import whiten
 from recordloom.session import scratch_path
 
 #: The rules that the contract of op5 states.
@@ -102,6 +103,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading components of all distinct ones, whitened."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_token_files": op11_token_files,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_whitening": op13_whitening,
 }
 
 _W = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
