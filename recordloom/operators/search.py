@@ -1,36 +1,53 @@
-"""Fuzzy search: candidates by equi-joins, then the similarity of the best field."""
+"""Fuzzy search: every row held against the few texts that a user types, then ranked by the similarity of its best field.
+
+The texts are joined as a broadcast by a condition that no key expresses, so the join reads each row once and shuffles none;
+their number has a bound, beyond which they are asked in several calls.  `ngram_index` leaves out whole files before that.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions import similarity, text
+from recordloom.functions import similarity, subsequence, text
+
+FIELDS = ("name", "plate", "brand")
+#: What is held against what, by field.
+PAIRS = {"tel": ("q_tel", "tel_digits"), "plate": ("q_plate", "plate_norm"), "name": ("q_name", "name_norm"), "brand": ("q_brand", "brand_norm")}
+#: Texts of one call: they are broadcast, and each row is held against each.
+MAX_TEXTS = 1_000
+
+
+def asked(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """q, q_name, q_tel, q_plate, q_brand, kind of the texts that are long enough to search for."""
+    if len(texts) > MAX_TEXTS:
+        raise ValueError(f"{len(texts)} texts; {MAX_TEXTS} at most in one search")
+    # The texts are here already, so they are composed here, and no Python worker is needed for them.
+    rows = [(t, unicodedata.normalize("NFC", t)) for t in texts]
+    q = spark.createDataFrame(rows, "q string, t string").withColumn("base", text.base(F.col("t"), False)).filter(F.length("base") >= 2)
+    return q.select(
+        "q",
+        text.name(F.col("base"), False).alias("q_name"),
+        text.phone(F.col("base"), False).alias("q_tel"),
+        text.plate(F.col("base"), False).alias("q_plate"),
+        text.brand(F.col("base"), False).alias("q_brand"),
+        similarity.classify(F.col("base")).alias("kind"),
+    )
 
 
 def search(rows: DataFrame, texts: list[str], top: int = 20, threshold: float = 0.3, include_pending: bool = False) -> DataFrame:
     """Q, rank, id, score and match_on of the best rows for each search text.
 
     rows: id, name_norm, tel_digits, plate_norm, brand_norm, review_status, stored, created; only approved ones are found
-    unless pending ones are asked for.  The texts are a short list that the user types, so they are broadcast and every row
-    is held against them in one scan without a shuffle: by the similarity of 3-grams (at the threshold), by contained
+    unless pending ones are asked for.  A row is a candidate by the similarity of 3-grams (at the threshold), by contained
     digits, or by a phone or plate within two edits.  Unlike the record system, no unordered cap cuts the candidates.
     """
-    spark = rows.sparkSession
-    q = spark.createDataFrame([(t,) for t in texts], "q string").withColumn("base", text.base(F.col("q"))).filter(F.length("base") >= 2)
-    q = q.select(
-        "q",
-        text.name(F.col("base")).alias("q_name"),
-        text.phone(F.col("base")).alias("q_tel"),
-        text.plate(F.col("base")).alias("q_plate"),
-        text.brand(F.col("base")).alias("q_brand"),
-        similarity.classify(F.col("base")).alias("kind"),
-    )
-    fields = ("name", "plate", "brand")
-    q = F.broadcast(q.withColumns({f"qg_{f}": similarity.trigrams(F.coalesce(f"q_{f}", F.lit(""))) for f in fields}))
+    q = F.broadcast(asked(rows.sparkSession, texts).withColumns({f"qg_{f}": similarity.trigrams(F.coalesce(f"q_{f}", F.lit(""))) for f in FIELDS}))
     if not include_pending:
         rows = rows.filter("review_status = 'approved'")
-    own = rows.withColumns({f"g_{f}": similarity.trigrams(F.coalesce(f"{f}_norm", F.lit(""))) for f in fields})
+    own = rows.withColumns({f"g_{f}": similarity.trigrams(F.coalesce(f"{f}_norm", F.lit(""))) for f in FIELDS})
 
     def alike(f: str):
         shared = F.size(F.array_intersect(f"qg_{f}", f"g_{f}"))
@@ -42,16 +59,23 @@ def search(rows: DataFrame, texts: list[str], top: int = 20, threshold: float =
     hit = alike("name") | alike("plate") | alike("brand") | ((F.col("q_tel") != "") & F.contains("tel_digits", "q_tel")) | edited("q_tel", "tel_digits") | edited("q_plate", "plate_norm")
     both = own.join(q, F.coalesce(hit, F.lit(False)))
 
-    def known(f, a: str, b: str):
-        return F.when((F.col(a) != "") & (F.col(b) != ""), f).otherwise(0.0)
+    # Candidates gather where alike records stand, so they are dealt out anew before the costly part.
+    columns = [*(c for pair in PAIRS.values() for c in pair), "q", "kind", "id", "stored", "created"]
+    dealt = both.select(*columns).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def scores(fields: list[str], score) -> list:
+        """One expression over the pairs of the fields; a pair with an empty side scores 0."""
+        pairs = F.array(*[F.struct(F.coalesce(PAIRS[f][0], F.lit("")).alias("a"), F.coalesce(PAIRS[f][1], F.lit("")).alias("b")) for f in fields])
+        return F.transform(pairs, lambda p: F.when((p["a"] == "") | (p["b"] == ""), 0.0).otherwise(score(p["a"], p["b"])))
 
-    scores = {
-        "tel": known(F.when(F.contains("tel_digits", "q_tel"), 100.0).otherwise(similarity.ratio_udf("q_tel", "tel_digits")), "q_tel", "tel_digits"),
-        "plate": known(similarity.ratio_udf("q_plate", "plate_norm"), "q_plate", "plate_norm"),
-        "name": known(similarity.name_score("q_name", "name_norm"), "q_name", "name_norm"),
-        "brand": known(similarity.partial_ratio("q_brand", "brand_norm"), "q_brand", "brand_norm"),
+    scored = dealt.withColumn("parts", scores(["name", "brand"], subsequence.partial_ratio)).withColumn("wholes", scores(["tel", "plate"], subsequence.ratio))
+    scored = scored.withColumn("sets", scores(["name"], subsequence.token_set_ratio))
+    of = {
+        "tel": F.when((F.col("q_tel") != "") & F.contains("tel_digits", "q_tel"), 100.0).otherwise(F.get("wholes", F.lit(0))),
+        "plate": F.get("wholes", F.lit(1)),
+        "name": F.greatest(F.get("sets", F.lit(0)), F.get("parts", F.lit(0))),
+        "brand": F.get("parts", F.lit(1)),
     }
-    scored = both.withColumns({f"s_{k}": v for k, v in scores.items()})
-    scored = scored.withColumn("best", similarity.best_field(F.col("kind"), {k: F.col(f"s_{k}") for k in scores})).select("q", "id", "best.*", "stored", "created")
+    scored = scored.select("*", similarity.best_field(F.col("kind"), of).alias("best")).select("q", "id", "best.*", "stored", "created")
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("stored"), F.desc("created"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("q", "rank", "id", "score", "match_on")
