@@ -8,7 +8,7 @@ from recordloom.plans.registry import query
 from recordloom.session import scratch_path
 from recordloom.sources.readers import table
 from recordloom.streaming import ingest as ing
-from recordloom.streaming import state
+from recordloom.streaming import queue, state
 
 
 def _attempts(e):
@@ -93,3 +93,29 @@ def ingest_batch(spark, d):
     known = files.filter("k = 7").select("sha256", F.lit("r7").alias("record"), F.lit(0).alias("created")).distinct()
     records, _ = ing.ingest(files, known, ing.StubExtractor(), 2026)
     return records.select("sha256", "name_norm", F.array_join("review_reason", ",").alias("reasons"))
+
+
+def queue_commands(e):
+    """Events as commands on the queues of three teams: views add items, clicks claim the next, purchases finish one, sign-ups claim a named one, errors release."""
+    k = F.col("event_id")
+    command = F.create_map(*[F.lit(x) for x in ("view", "add", "click", "claim_next", "purchase", "done", "signup", "claim_one", "error", "release")])
+    item = F.when(F.col("event_type") == "view", k).when(F.col("event_type") == "purchase", k - 40).when(F.col("event_type") == "signup", k - 7)
+    return e.select(
+        F.concat(F.lit("team"), F.col("user_id") % 3).alias("queue"), k.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.try_element_at(command, "event_type").alias("command"),
+        F.concat(F.lit("w"), F.col("user_id") % 7).alias("worker"), F.concat(F.lit("i"), item).alias("item"), (k % 5 == 0).alias("urgent"),
+    )
+
+
+@query()
+def queue_claims_stream(spark, d):
+    """The sharded queue over all events, landed in four spans of time; each run goes on from the state of the last."""
+    e = table(spark, d, "events")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = e.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    landing, path, got = scratch_path(spark, "landing-commands"), scratch_path(spark, "queue"), None
+    for i in range(4):
+        part = F.least(F.floor((at - F.lit(span.a)) * 4 / F.lit(max(1, (span.b or 0) - (span.a or 0)))), F.lit(3))
+        queue_commands(e.filter(part == i)).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(queue_commands(e).schema).parquet(landing)
+        got = queue.drain_queue(queue.queue_stream(stream), path)
+    return got

@@ -1,4 +1,4 @@
-"""Stateful versions of the queue and of throttling, for Structured Streaming, and the streaming duplicate gate."""
+"""Throttling as an ordered fold, in batch and as a stream, and the streaming duplicate gate."""
 
 from __future__ import annotations
 
@@ -74,52 +74,6 @@ def throttle_stream(attempts: DataFrame, longest: int = LONGEST) -> DataFrame:
     return attempts.groupBy("key").applyInPandasWithState(run, _OUT, "fails array<double>, locked_until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-class QueueFold:
-    """Claims on one queue.  Commands: add, claim_next, claim_one, release, done."""
-
-    def __init__(self, items: dict[str, tuple[bool, float]] | None = None, claims: dict[str, tuple[str, float]] | None = None, lease: float = 600.0):
-        self.items, self.claims, self.lease = items or {}, claims or {}, lease
-
-    def step(self, at: float, command: str, worker: str, item: str, urgent: bool = False) -> str | None:
-        """The item that the worker now holds, or its holder if claim_one fails."""
-        if command == "add":
-            self.items[item] = (not urgent, at)
-            return None
-        if command == "done":
-            self.items.pop(item, None)
-            self.claims.pop(item, None)
-            return None
-        holder = self.claims.get(item)
-        if command == "claim_one" and holder and holder[0] != worker and holder[1] + self.lease > at:
-            return holder[0]
-        self.claims = {i: c for i, c in self.claims.items() if c[0] != worker}
-        if command == "claim_one" and item in self.items:
-            self.claims[item] = (worker, at)
-            return item
-        if command == "claim_next":
-            free = [i for i in self.items if i not in self.claims or self.claims[i][1] + self.lease <= at]
-            if free:
-                item = min(free, key=lambda i: (*self.items[i], i))
-                self.claims[item] = (worker, at)
-                return item
-        return None
-
-
-def queue_stream(commands: DataFrame) -> DataFrame:
-    """Streaming queue: (queue, seq, at, command, worker, item, urgent) to (queue, seq, worker, item); state is one queue's open items and claims."""
-    schema = "items array<struct<item:string,later:boolean,at:double>>, claims array<struct<item:string,worker:string,at:double>>"
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, claims = state.get if state.exists else ([], [])
-        q = QueueFold({i["item"]: (i["later"], i["at"]) for i in items}, {c["item"]: (c["worker"], c["at"]) for c in claims})
-        rows = pd.concat(list(batches)).sort_values("seq")
-        got = [q.step(float(r.at_s), r.command, r.worker, r.item, bool(r.urgent)) for r in rows.rename(columns={"at": "at_s"}).itertuples()]
-        state.update(([{"item": i, "later": v[0], "at": v[1]} for i, v in q.items.items()], [{"item": i, "worker": c[0], "at": c[1]} for i, c in q.claims.items()]))
-        yield pd.DataFrame({"queue": rows["queue"], "seq": rows.seq, "worker": rows.worker, "item": got})
-
-    return commands.groupBy("queue").applyInPandasWithState(run, "queue string, seq long, worker string, item string", schema, "append", GroupStateTimeout.NoTimeout)
-
-
 def first_seen_stream(uploads: DataFrame, key: str, ts: str, late: str | None = "1 day") -> DataFrame:
     """The first upload of each hash.
 

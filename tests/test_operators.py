@@ -11,7 +11,8 @@ from recordloom.operators.graph import connected_components
 from recordloom.operators.search import search
 from recordloom.sources import readers
 from recordloom.streaming.ingest import NoCrop, Retryable, StubExtractor, extract, with_retries
-from recordloom.streaming.state import QueueFold, ThrottleFold
+from recordloom.streaming.queue import QueueFold
+from recordloom.streaming.state import ThrottleFold
 
 
 def test_components(spark):
