@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordloom.functions import text
+from recordloom.functions.subsequence import bound
 
 # Names and short names of the months, January first.
 MONTHS = [
@@ -27,9 +28,8 @@ MONTHS = [
 ]
 #: Years between the Buddhist and the Gregorian calendar, and days before 1970-01-01 counted from year 1.
 BUDDHIST, EPOCH_ORDINAL = 543, 719_163
-ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-NUMERIC = r"^(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{2,4})$"
-WORDED = r"^(\d{1,2})\s+([^\d\s]+)\s*(\d{2,4})?$"
+#: A written date as runs of digits, of blanks and of other signs.
+RUNS = r"(?U)\d+|\s+|[^\d\s]+"
 
 
 def nearest_year(y: Column, as_of_year: int) -> Column:
@@ -47,22 +47,43 @@ def calendar_date(y: Column, m: Column, d: Column, as_of_year: int) -> Column:
     return F.to_date(F.try_to_timestamp(F.concat_ws("-", year, m.cast("string"), d.cast("string")), F.lit("yyyy-M-d")))
 
 
-def parse(c: Column, as_of_year: int, compose: bool = True) -> Column:
-    """ISO, numeric day-month-year, or day and month word with or without a year."""
-    s = text.base(c, compose)
+def _kind(run: Column) -> Column:
+    """n for a number, / for a separator of numbers, w for a word, a blank for blanks."""
+    return F.when(run.rlike(r"(?U)^\d"), "n").when(F.trim(run) == "", " ").when(run.isin("/", "-", "."), "/").otherwise("w")
 
-    def part(pattern: str, i: int) -> Column:
-        return F.nullif(F.regexp_extract(s, "(?U)" + pattern, i), F.lit("")).cast("int")
 
+def _layout(runs: Column, as_of_year: int) -> Column:
+    """struct(y, m, d) of the layout that the kinds of the runs and the lengths of the numbers spell; its fields are null for none."""
     names = F.create_map(*[x for i, words in enumerate(MONTHS) for w in words for x in (F.lit(w), F.lit(i + 1))])
-    word = F.regexp_extract(s, "(?U)" + WORDED, 2)
-    month = F.coalesce(F.try_element_at(names, word), F.try_element_at(names, F.rtrim(word, F.lit("."))))
-    year = F.coalesce(part(WORDED, 3), F.lit(as_of_year + BUDDHIST))
-    return (
-        F.when(s.rlike("(?U)" + ISO), calendar_date(part(ISO, 1), part(ISO, 2), part(ISO, 3), as_of_year))
-        .when(s.rlike("(?U)" + NUMERIC), calendar_date(part(NUMERIC, 3), part(NUMERIC, 2), part(NUMERIC, 1), as_of_year))
-        .when(s.rlike("(?U)" + WORDED), calendar_date(year, month, part(WORDED, 1), as_of_year))
-    )
+
+    def read(p: Column) -> Column:
+        number = lambda i: F.get(p["numbers"], F.lit(i))
+        digits = lambda i, least, most: F.coalesce(F.length(number(i)).between(least, most), F.lit(False))
+        value = lambda i: number(i).try_cast("int")
+        sign = F.get(p["signs"], F.lit(0))
+        month = F.coalesce(F.try_element_at(names, sign), F.try_element_at(names, F.rtrim(sign, F.lit("."))))
+        year_first = (p["shape"] == "n/n/n") & (sign == "-") & (F.get(p["signs"], F.lit(1)) == "-") & digits(0, 4, 4) & digits(1, 1, 2) & digits(2, 1, 2)
+        day_first = (F.replace(p["shape"], F.lit(" "), F.lit("")) == "n/n/n") & digits(0, 1, 2) & digits(1, 1, 2) & digits(2, 2, 4)
+        month_word = p["shape"].isin("n w", "n wn", "n w n") & digits(0, 1, 2) & ((F.size(p["numbers"]) == 1) | digits(1, 2, 4))
+        layouts = [
+            (year_first, value(0), value(1), value(2)),
+            (day_first, value(2), value(1), value(0)),
+            (month_word, F.coalesce(value(1), F.lit(as_of_year + BUDDHIST)), month, value(0)),
+        ]
+        return F.coalesce(*[F.when(fits, F.struct(y.alias("y"), m.alias("m"), d.alias("d"))) for fits, y, m, d in layouts])
+
+    numbers, signs = F.filter(runs, lambda x: _kind(x) == "n"), F.filter(runs, lambda x: _kind(x).isin("/", "w"))
+    return bound(F.struct(F.array_join(F.transform(runs, _kind), "").alias("shape"), numbers.alias("numbers"), signs.alias("signs")), read)
+
+
+def parse(c: Column, as_of_year: int, compose: bool = True) -> Column:
+    """year, month and day; day, month and year; or day and month word with or without a year.  The text is cut into runs once, and what they are decides.
+
+    Digits that are neither ASCII nor Thai give no date.
+    """
+    runs = F.regexp_extract_all(text.base(c, compose), F.lit(RUNS), F.lit(0))
+    dated = lambda f: calendar_date(f["y"], f["m"], f["d"], as_of_year)
+    return bound(runs, lambda r: bound(_layout(r, as_of_year), lambda f: F.when(f["y"].isNotNull() & f["m"].isNotNull() & f["d"].isNotNull(), dated(f))))
 
 
 def iso(c: Column, as_of_year: int, compose: bool = True) -> Column:
