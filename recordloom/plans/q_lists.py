@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, rules, text
-from recordloom.operators import filters, visits, workqueue
+from recordloom.operators import filters, paging, visits, workqueue
 from recordloom.plans.registry import query
 from recordloom.sources import readers
 from recordloom.sources.readers import table
@@ -57,6 +58,23 @@ def page_filtered_sorted(spark, d):
     return filters.with_total(filters.page(df, by, 2, 10), df).select("c_custkey", "c_name", "c_acctbal", "total")
 
 
+_LINES = "l_extendedprice DESC NULLS LAST, l_shipdate NULLS LAST, l_orderkey NULLS LAST, l_linenumber NULLS LAST, l_partkey NULLS LAST, l_suppkey NULLS LAST, l_quantity NULLS LAST, l_discount NULLS LAST, l_tax NULLS LAST"
+
+
+@query(f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, rn - 1 AS place FROM (SELECT *, row_number() OVER (ORDER BY {_LINES}) AS rn, count(*) OVER () AS n FROM lineitem)
+    WHERE rn > (n * 5 // 6) // 50 * 50 AND rn <= (n * 5 // 6) // 50 * 50 + 50""")
+def deep_page(spark, d):
+    """A page five sixths into all lines (number 10,000 at the largest test size), found by rank."""
+    lines = table(spark, d, "lineitem")
+    number = lines.count() * 5 // 6 // 50 + 1
+    order = [(c.split()[0], "DESC" in c) for c in _LINES.split(", ")]
+    # One page: its rows may be numbered in one place.
+    w = Window.orderBy(*paging.sort_columns(order))
+    found = paging.page_at(lines, order, number, 50, most=20_000)
+    return found.withColumn("place", (F.row_number().over(w) + (number - 1) * 50 - 1).cast("bigint")).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "place")
+
+
 @query("""
     SELECT p AS asked, least(greatest(p, 1), pages) AS page, total, pages FROM (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 50.0) AS BIGINT)) AS pages FROM customer WHERE c_acctbal < 0), (VALUES (-1), (1), (3), (100000)) t(p)""")
 def paging_clamp(spark, d):
