@@ -8,7 +8,9 @@ figures without a name have no weight of their own, so those of an article stay
 over all pieces finds the contiguous region of the largest sum (the first of equal ones).  An <article> or <main> is one
 more learned weight: it lightens what tags and insets cost inside of it, and a region pays for going on from its words to
 words outside, or back.  So the scan ends at the element unless more text than that stands outside.  In the region, containers of negative weight (menus, asides, adverts, comments,
-forms) are left out, and the rest is written block by block.
+forms) are left out, and the rest is written block by block.  A class word or id tells something only as a whole (`sidebar`, not
+`has-sidebar`), and nothing of the element that the page is about - the <article> or <main> with the most words - or what
+holds it; a heading that names comments or links to other pages speaks for its section.
 
 Fitting reads at most about `max_pages` pages, chosen by a hash of the id; its result is a few hundred numbers.
 
@@ -64,8 +66,19 @@ ENDS = {
 CONTAINER = frozenset("article aside body dialog div footer form header main menu nav ol section table ul figure details fieldset span p".split())
 #: Prior scores a word: what the element or the words of class, id and role say before any page is seen.
 PRIOR_TAG = {"nav": -4.0, "footer": -4.0, "aside": -4.0, "form": -4.0, "menu": -4.0, "dialog": -4.0, "button": -4.0, "header": -4.0, "fieldset": -4.0}
-PRIOR_NAME = re.compile(
-    r"(?:^|[-_ ])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo\w*|related|recommend\w*|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_ 0-9])"
+#: Words that say what an element is for, and words that may stand beside them in a compound; a class word or id tells something if it is made of both kinds only.
+TELLING = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended recommendation recommendations related replies reply respond share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
+)
+BESIDE = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cards col column container content entry fixed form global group icon icons inner item items left link links list main mobile outer page panel policy post posts primary right row section secondary site slot small sticky stories story top unit wrap wrapper".split()
+)
+#: What an element within an <article> or <main> may be called without being the page's.
+OF_ARTICLE = frozenset(["header", "masthead", "banner"])
+#: Headings of sections that are no part of an article, whatever their markup says.
+SECTIONS = re.compile(
+    r"(?:\d+ )?(?:reader |user |your |les |los )?(?:comments?|commentaires?|comentarios?|kommentare?)(?: \(\d+\)| \d+)?:?|leave (?:a|your) (?:reply|comment)|join the (?:discussion|conversation)|laisser un commentaire|deja un comentario|(?:related|recommended|more|other) (?:articles|posts|stories|news|reading)|you (?:may|might) also like|read (?:next|also|more)|share this(?: article| post| story)?|advertisements?|sponsored(?: content)?|newsletter|subscribe(?: now)?|follow us",
+    re.I,
 )
 LANDMARK = frozenset(["article", "main"])
 #: Elements that hold content and menus alike: without a name they say nothing of their own.
@@ -74,103 +87,176 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
+_PART = re.compile(r"[-_:.\d]+")
 
 
 @dataclass
 class Piece:
-    """A run of text, or a tag (text is None)."""
+    """A run of text, or a tag (text is None); context: number of the innermost container around it."""
 
     text: str | None
     tag: str
-    contexts: tuple[str, ...]
+    context: int
     inside: int
     block: int
 
 
 @dataclass
 class Page:
+    """pieces; landmarks: number of outermost ones; parents, keys: the containers by number, the first of which is none; free: those whose names do not count."""
+
     pieces: list[Piece] = field(default_factory=list)
     landmarks: int = 0
+    parents: list[int] = field(default_factory=lambda: [0])
+    keys: list[str | None] = field(default_factory=lambda: [None])
+    free: set[int] = field(default_factory=set)
+
+    def around(self, context: int, most: int) -> set[str]:
+        """Keys of the innermost containers, `most` at most."""
+        out: set[str] = set()
+        while context and len(out) < most:
+            if self.keys[context]:
+                out.add(self.keys[context])
+            context = self.parents[context]
+        return out
+
+
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Containers around a word that the fit reads.
+FIT_CONTEXTS = 64
 
 
 def parse(source: str) -> Page:
-    """Pieces with the contexts of all containers around them, outermost first."""
+    """Pieces with the containers around them.  Open elements are found by name, so any number of them costs a page no more than their tags."""
     page, stack = Page(), []
-    contexts: tuple[str, ...] = ()
-    landmark = block = at = 0
-    opened: Counter = Counter()
+    context = landmark = block = at = 0
+    places: dict[str, list[int]] = {}
+    opened_in: list[int] = [0]
+    #: By depth: where a section under a telling heading began, and that heading's level.
+    sections: dict[int, tuple[int, str]] = {}
+    heading: tuple[int, int] | None = None
+
+    def enter(key: str | None) -> int:
+        page.parents.append(context)
+        page.keys.append(key)
+        return len(page.keys) - 1
 
     def close(k: int) -> None:
-        nonlocal contexts, landmark
-        contexts, landmark = stack[k][1], stack[k][2]
-        opened.subtract(x[0] for x in stack[k:])
-        del stack[k:]
+        nonlocal context, landmark, heading
+        depth = heading[0] if heading else -1
+        level = end_heading() if depth >= k else None
+        context, landmark = stack[k][1], stack[k][2]
+        while len(stack) > k:
+            sections.pop(len(stack), None)
+            places[stack.pop()[0]].pop()
+        if level and depth == k:
+            sections[k] = (context, level)
+            context = enter("section.comments")
+
+    def end_heading() -> str | None:
+        """The level of a heading that tells what its section is; its own words are part of that."""
+        nonlocal heading
+        depth, first = heading
+        heading = None
+        said = _SPACE.sub(" ", "".join(p.text for p in page.pieces[first:] if p.text)).strip()
+        if SECTIONS.fullmatch(said):
+            own = enter("section.comments")
+            for p in page.pieces[first:]:
+                p.context = own
+            return stack[depth][0]
+        return None
 
     def end_implied(name: str) -> None:
         """Close what an opening tag ends: a paragraph before a block, an item before the next one."""
         over, bound = ENDS.get(name, ((), ()))
-        if any(opened[x] > 0 for x in over):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in over:
-                    return close(k)
-                if stack[k][0] in bound:
-                    return None
-        return None
+        last = max((places[x][-1] for x in over if places.get(x)), default=-1)
+        if last >= 0 and last > max((places[x][-1] for x in bound if places.get(x)), default=-1):
+            close(last)
 
     while m := _TOKEN.match(source, at):
         at = m.end()
         name = m[2]
         if name is None:
             if m[4] is not None:
-                page.pieces.append(Piece(html.unescape(m[4]), "", contexts, landmark, block))
+                page.pieces.append(Piece(html.unescape(m[4]), "", context, landmark, block))
             elif m[0].startswith("<![CDATA["):
-                page.pieces.append(Piece(m[0][9:].removesuffix("]]>"), "", contexts, landmark, block))
+                page.pieces.append(Piece(m[0][9:].removesuffix("]]>"), "", context, landmark, block))
             continue
         name = name.lower()
         block += name in BLOCK
         if m[1]:
-            if opened[name] > 0:
-                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
-            page.pieces.append(Piece(None, name, contexts, landmark, block))
+            if places.get(name):
+                close(places[name][-1])
+            page.pieces.append(Piece(None, name, context, landmark, block))
             continue
         if name in RAW:
             if name == "head":
                 continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = end.end() if end else (len(source) if name in ("script", "style", "template", "textarea") else at)
-            page.pieces.append(Piece(None, name, contexts, landmark, block))
+            page.pieces.append(Piece(None, name, context, landmark, block))
             continue
         end_implied(name)
-        page.pieces.append(Piece(None, name, contexts, landmark, block))
+        if name in HEADING and len(stack) in sections and name <= sections[len(stack)][1]:
+            context = sections.pop(len(stack))[0]
+        page.pieces.append(Piece(None, name, context, landmark, block))
         if name in VOID or m[3].endswith("/"):
             continue
-        stack.append((name, contexts, landmark))
-        opened[name] += 1
-        key = context_key(name, m[3])
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, context, landmark))
+        key = context_key(name, m[3], bool(landmark))
         if key:
-            contexts = (*contexts, key)
+            context = enter(key)
         if name in LANDMARK:
-            page.landmarks += not landmark
+            if not landmark:
+                page.landmarks += 1
+                opened_in.append(context)
             landmark = page.landmarks
-        if len(stack) > 2000:  # unclosed elements without end; the oldest are of no use any more
-            opened.subtract(x[0] for x in stack[1:1000])
-            del stack[1:1000]
+        if name in HEADING:
+            heading = (len(stack) - 1, len(page.pieces))
+    free_main(page, opened_in)
     return page
 
 
-def context_key(name: str, attributes: str) -> str | None:
-    names = " ".join(sorted({w.strip("\"'").lower() for k in _NAMES.finditer(attributes) for w in _SPACE.split(k[2].strip("\"'")) if w})) if attributes else ""
+def free_main(page: Page, opened_in: list[int]) -> None:
+    """The landmark with the most words is what the page is about, so nothing that holds it whole is told by its name, nor by being a form or a header."""
+    if page.landmarks:
+        words = [0] * (page.landmarks + 1)
+        for p in page.pieces:
+            if p.text and p.inside:
+                words[p.inside] += len(p.text.split())
+        context = opened_in[words.index(max(words[1:]), 1)]
+        while context:
+            page.free.add(context)
+            context = page.parents[context]
+
+
+def context_key(name: str, attributes: str, in_landmark: bool = False) -> str | None:
+    """What is known of a container: its tag, and its words of class, id and role.  <html> and <body> are none; a heading's id is an anchor, and an article's own header is no page's."""
+    if name in ("html", "body"):
+        return None
+    words = {w.strip("\"'").lower() for k in _NAMES.finditer(attributes) if not (name in HEADING and k[1].lower() == "id") for w in _SPACE.split(k[2].strip("\"'")) if w} if attributes else set()
+    if in_landmark:
+        name = "div" if name == "header" else name
+        words = {w for w in words if not OF_ARTICLE & set(_PART.split(w))}
+    names = " ".join(sorted(words))
     if attributes and _HIDDEN.search(attributes):
         names += " hidden"
     if name in LANDMARK or name not in CONTAINER and name not in PRIOR_TAG:
         return f"*.{names}" if names else None
-    return f"{name}.{names}" if names else (None if name in ("div", "span", "p", "section", "body") else name)
+    return f"{name}.{names}" if names else (None if name in ("div", "span", "p", "section") else name)
+
+
+def tells(word: str) -> bool:
+    """Whether a class word or id says that its element is no content: all of its parts are known, and one of them is telling."""
+    parts = [x for x in _PART.split(word) if x]
+    return any(x in TELLING for x in parts) and all(x in TELLING or x in BESIDE for x in parts)
 
 
 def prior(key: str) -> float:
     """Score a word in a container before any page is seen."""
     tag, _, names = key.partition(".")
-    if "hidden" in names.split() or PRIOR_NAME.search(names):
+    if any(w == "hidden" or tells(w) for w in names.split()):
         return -4.0
     return PRIOR_TAG.get(tag, 0.0)
 
@@ -188,10 +274,18 @@ class Weights:
     def of(self, key: str) -> float:
         return self.context[key] if key in self.context else prior(key)
 
-    def score(self, contexts: tuple[str, ...]) -> float:
-        """Score of a word: the base, or the lowest of its containers."""
-        worst = min((self.of(k) for k in contexts), default=0.0)
-        return self.word if worst >= 0 else worst
+    def scores(self, page: Page) -> list[float]:
+        """Score of a word by the number of its container: the base, or the lowest of all around it, each of which is looked up once."""
+        worst, known = [0.0] * len(page.keys), {}
+        for i in range(1, len(page.keys)):
+            key = page.keys[i]
+            if key not in known:
+                known[key] = self.of(key) if key else 0.0
+            own = known[key]
+            if i in page.free:
+                own = min(0.0, PRIOR_TAG[tag]) if key and (tag := key.partition(".")[0]) in ("nav", "aside", "footer") else 0.0
+            worst[i] = min(worst[page.parents[i]], own)
+        return [self.word if w >= 0 else w for w in worst]
 
 
 def count(source: str) -> Counter | None:
@@ -207,10 +301,11 @@ def count(source: str) -> Counter | None:
             c["<" + p.tag, bool(p.inside)] += 1
         if p.text is not None and n:
             # Words in a container that speaks for itself are explained by it, and say nothing of the others around them.
-            spoken = {k for k in p.contexts if prior(k) < 0}
+            keys = page.around(p.context, FIT_CONTEXTS)
+            spoken = {k for k in keys if prior(k) < 0}
             if not spoken:
                 c["plain", bool(p.inside)] += n
-            for k in spoken or set(p.contexts):
+            for k in spoken or keys:
                 c[k, bool(p.inside)] += n
     return c
 
@@ -249,15 +344,12 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def extract(source: str | None, weights: Weights) -> str:
-    if not source:
-        return ""
-    page = parse(source)
-    pieces = page.pieces
-    worth, spent = [], 0.0
+def worths(page: Page, scores: list[float], weights: Weights) -> list[float]:
+    """What each piece adds to a region."""
+    pieces, worth, spent = page.pieces, [], 0.0
     edge, side = 0, None
     for i, p in enumerate(pieces):
-        word = weights.score(p.contexts)
+        word = scores[p.context]
         if word < 0:
             # A whole run of such words costs INSET_COST at most, so that an inset does not cut the content in two.
             cost = min(0.0, word + weights.landmark) if p.inside else word
@@ -279,11 +371,15 @@ def extract(source: str | None, weights: Weights) -> str:
             if side is not None:
                 worth[edge] -= weights.landmark * EDGE_WORDS
             side = bool(p.inside)
-    begin, end = best_region(worth)
+    return worth
+
+
+def written(pieces: list[Piece], scores: list[float]) -> str:
+    """Blocks of a region, without what stands in containers of negative weight."""
     blocks: list[str] = []
     last = None
-    for p in pieces[begin:end]:
-        if p.text is None or weights.score(p.contexts) < 0:
+    for p in pieces:
+        if p.text is None or scores[p.context] < 0:
             continue
         if p.block != last:
             blocks.append("")
@@ -293,6 +389,15 @@ def extract(source: str | None, weights: Weights) -> str:
     return "\n".join(b for b in clean if b)
 
 
+def extract(source: str | None, weights: Weights) -> str:
+    if not source:
+        return ""
+    page = parse(source)
+    scores = weights.scores(page)
+    begin, end = best_region(worths(page, scores, weights))
+    return written(page.pieces[begin:end], scores)
+
+
 def fit_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES) -> Weights:
     n = pages.count()
     some = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).filter(F.col("h").isNotNull())

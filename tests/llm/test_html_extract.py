@@ -87,3 +87,63 @@ def test_frame(spark):
     got = sorted((r.page_id, r.n_chars, r.text[:20]) for r in H.extract_pages(df, H.fit_pages(df)).collect())
     assert got == [(1, len(WANT), WANT[:20]), (2, 0, ""), (2, 0, ""), (3, 10 * 20_000 - 1, "word word\nword word\n"[:20])]
     assert H.extract_pages(df.limit(0), H.fit_pages(df.limit(0))).count() == 0
+
+
+WORDS = "some words of the main text that goes on for a while and says this and that of it, " * 3
+
+
+def test_any_number_of_open_elements():
+    for n in (1_000, 2_500, 60_000):
+        page = f"<html><body><div><nav>menu {'<b>' * n}</nav></div><article>{WORDS}</article></body></html>"
+        assert H.extract(page, H.Weights()) == WORDS.strip()
+        assert H.extract(f"<ul>{'<b class=x>' * n}{'<li>item' * 50}</ul><article>{WORDS}</article>", H.Weights()) == WORDS.strip()
+
+
+def test_names_tell_as_a_whole_and_not_of_what_the_page_is_about():
+    pages = [
+        '<body class="has-sidebar"><article>{}</article></body>', '<div class="content has-sidebar"><article>{}</article></div>', '<body class="no-comments"><main>{}</main></body>',
+        '<body class="page-header-image"><main>{}</main></body>', '<main class="no-comments">{}</main>', '<article><section id="related-work">{}</section></article>', '<body class="sidebar"><div id="social"><article class="comments">{}</article></div></body>',
+        '<form id="aspnet"><header><main>{}</main></header></form>', '<article><span class="ad-hoc">{}</span></article>',
+    ]
+    for page in pages:
+        assert H.extract(page.format(WORDS), H.Weights()) == WORDS.strip(), page
+    assert H.extract(f'<article><h2 id="share-prices">Prices</h2><h2 id="share">Share</h2><p>{WORDS}</article>', H.Weights()) == f"Prices\nShare\n{WORDS.strip()}"
+    for name in ("sidebar", "cookie-notice", "comment-list", "site-footer", "related-posts", "ad", "ad_container-2", "social share", "newsletter-signup"):
+        assert H.extract(f'<article><p>{WORDS}</p><div class="{name}">not of it at all</div><p>{WORDS}</p></article>', H.Weights()) == f"{WORDS.strip()}\n{WORDS.strip()}", name
+    aside = f"<article><p>{WORDS}</p></article><aside><article>a teaser of some words</article></aside><div class=sidebar><article>another teaser of it</article></div>"
+    assert H.extract(aside, H.Weights()) == WORDS.strip()
+
+
+def test_title_in_the_header_of_an_article():
+    got = H.extract(f'<header>Site</header><article><header class="entry-header"><h1>Title</h1></header><p>{WORDS}</p></article>', H.Weights())
+    assert got == f"Title\n{WORDS.strip()}"
+
+
+def test_sections_under_a_telling_heading():
+    comments = "I have read this and think so too, says one of many readers here. " * 8
+    w = H.fit(H.count(PAGE))
+    short = "An article of twenty words that is shorter than what its readers have to say of it on the page below."
+    for heading in ("Reader comments", "12 Comments", "Comments (3)", "Leave a reply", "Commentaires"):
+        assert H.extract(f"<article><p>{short}</p></article><div><h3>{heading}</h3><p>{comments}</p><p>{comments}</p></div>", w) == short, heading
+    assert H.extract(f"<article><h1>T</h1><p>{WORDS}</p><h2>Related articles</h2><p>One</p><h3>Two</h3><p>x</p><h2>On it goes</h2><p>{WORDS}</p></article>", w) == f"T\n{WORDS.strip()}\nOn it goes\n{WORDS.strip()}"
+    assert H.extract(f"<article><h2>Comments on a theorem</h2><p>{WORDS}</p></article>", w) == f"Comments on a theorem\n{WORDS.strip()}"
+
+
+def test_whole_extraction_against_all_regions():
+    """Every region of small pages is tried; on many the best one is neither nothing nor all."""
+    r, w, differ = random.Random(4), H.fit(H.count(PAGE)), 0
+    for _ in range(400):
+        parts = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", "<br>", "<ul><li>", "<div class=ad>", "word " * r.randrange(1, 40), "a b c", "<h2>Comments</h2>"]
+        source = "".join(r.choice(parts) for _ in range(r.randrange(1, 22)))
+        page = H.parse(source)
+        scores = w.scores(page)
+        worth = H.worths(page, scores, w)
+        best, span = _brute(worth)
+        if best == 0:
+            assert H.extract(source, w) == ""
+            continue
+        totals = [sum(worth[i:j]) for i in range(len(worth)) for j in range(i + 1, len(worth) + 1)]
+        if sum(abs(t - best) < 1e-9 for t in totals) == 1:
+            assert H.extract(source, w) == H.written(page.pieces[span[0] : span[1]], scores)
+        differ += H.extract(source, w) != H.written(page.pieces, scores)
+    assert differ > 20
