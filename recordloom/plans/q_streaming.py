@@ -81,17 +81,20 @@ def daily_counts_stream(spark, d):
 
 
 @query("""
-    SELECT sha256(CAST(encode('{"fields": {"full_name": "a b' || (c_custkey % 50) || '", "tel": "08' || lpad(CAST(c_custkey % 50 AS VARCHAR), 8, '1') || '", "plate": "1กก' || (c_custkey % 50) || '"}, "confidence": {"name": ' || CASE WHEN c_custkey % 2 = 0 THEN '0.9' ELSE '0.5' END || '}}') AS BLOB)) AS sha256,
-           'a b' || min(c_custkey % 50) AS name_norm, CASE WHEN min(c_custkey % 2) = 0 THEN '' ELSE 'low_confidence' END AS reasons
-    FROM customer WHERE c_custkey % 50 <> 7 GROUP BY 1""")
+    WITH f AS (SELECT c_custkey % 50 AS k, min(c_name) AS path, '08' || lpad(CAST(c_custkey % 50 AS VARCHAR), 8, '1') AS tel FROM customer WHERE c_custkey % 50 <> 7 GROUP BY ALL)
+    SELECT sha256(CAST(encode('{"fields": {"full_name": "a b' || k || '", "tel": "' || tel || '", "plate": "1กก' || k || '"}, "confidence": {"name": ' || CASE WHEN k % 2 = 0 THEN '0.9' ELSE '0.5' END || '}}') AS BLOB)) AS sha256,
+           'a b' || k AS name_norm,
+           concat_ws(',', CASE WHEN k % 10 IN (3, 4) OR EXISTS (SELECT 1 FROM f g WHERE g.tel = f.tel AND g.path < f.path) THEN 'duplicate_suspect' END, CASE WHEN k % 2 = 1 THEN 'low_confidence' END) AS reasons
+    FROM f""")
 def ingest_batch(spark, d):
-    """S10, S12, U03, T06, T07, K01 with the stub extractor: a batch with repeats, of which some are stored already."""
+    """S10, S12, U03, T06, T07, A11, K01 with the stub extractor: a batch with repeats, of which some are stored already, beside open records with a fifth of the plates."""
     k = F.col("c_custkey") % 50
     conf = F.when(F.col("c_custkey") % 2 == 0, "0.9").otherwise("0.5")
     body = F.concat(F.lit('{"fields": {"full_name": "a b'), k, F.lit('", "tel": "08'), F.lpad(k.cast("string"), 8, "1"), F.lit('", "plate": "1กก'), k, F.lit('"}, "confidence": {"name": '), conf, F.lit("}}"))
     files = table(spark, d, "customer").select(F.col("c_name").alias("path"), F.encode(body, "UTF-8").alias("content"), k.alias("k")).withColumn("sha256", F.sha2("content", 256))
     known = files.filter("k = 7").select("sha256", F.lit("r7").alias("record"), F.lit(0).alias("created")).distinct()
-    records, _ = ing.ingest(files, known, ing.StubExtractor(), 2026)
+    stored = files.filter("k % 10 IN (3, 4)").select(F.concat(F.lit("1กก"), "k").alias("plate_norm"), F.lit("").alias("tel_digits"))
+    records, _ = ing.ingest(files, known, ing.StubExtractor(), 2026, stored=stored)
     return records.select("sha256", "name_norm", F.array_join("review_reason", ",").alias("reasons"))
 
 

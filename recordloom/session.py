@@ -42,10 +42,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor costs a reread and not a recomputation."""
+#: Narrow rows of a partition of an intermediate table.
+NARROW_ROWS = 500_000
+
+
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Partitions for an intermediate table of that many narrow rows: two a core, so that all have work, and more as it grows."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS))
+
+
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut lineage through reliable storage, so a lost executor costs a reread and not a recomputation.  parts: files at most; small tables in many files cost more to open than to read."""
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
