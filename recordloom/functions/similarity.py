@@ -20,11 +20,25 @@ def trigrams(c: Column) -> Column:
 
 
 def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(l, r, similarity) over (id, value) frames, by an equi-join on 3-grams."""
-    a = left.select(F.col("id").alias("l"), trigrams(F.col("value")).alias("g")).select("l", F.size("g").alias("nl"), F.explode("g").alias("gram"))
-    b = right.select(F.col("id").alias("r"), trigrams(F.col("value")).alias("g")).select("r", F.size("g").alias("nr"), F.explode("g").alias("gram"))
-    shared = a.join(b, "gram").groupBy("l", "r", "nl", "nr").agg(F.count(F.lit(1)).alias("n"))
-    return shared.select("l", "r", (F.col("n") / (F.col("nl") + F.col("nr") - F.col("n"))).alias("similarity")).filter(F.col("similarity") >= threshold)
+    """(l, r, similarity) over (id, value) frames, by an equi-join on the rare 3-grams of each side.
+
+    Two sets of that similarity share one gram at least among the first of either, taken from the rarest on, without its last
+    ceil(t * n) - 1 ones.  So a gram that many values have is joined only by values that have few others, and pairs of too
+    different sizes are dropped before their sets are compared.
+    """
+    sides = [df.select("id", trigrams(F.col("value")).alias("g")).filter(F.size("g") > 0) for df in (left, right)]
+    often = sides[0].unionByName(sides[1]).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+
+    def first(df: DataFrame, side: str) -> DataFrame:
+        ranked = df.select("id", F.explode("g").alias("gram")).join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("x"))
+        keep = F.size("x") - F.ceil(threshold * F.size("x") - 1e-9).cast("int") + 1
+        return ranked.select(F.col("id").alias(side), F.transform("x", lambda e: e["gram"]).alias(f"g{side}"), F.explode(F.slice("x", F.lit(1), keep)).alias("k")).select(side, f"g{side}", F.col("k")["gram"].alias("gram"))
+
+    a, b = first(sides[0], "l"), first(sides[1], "r")
+    fits = (F.size("gl") >= threshold * F.size("gr") - 1e-9) & (F.size("gr") >= threshold * F.size("gl") - 1e-9)
+    n = F.size(F.array_intersect("gl", "gr"))
+    pairs = a.join(b, "gram").filter(fits).groupBy("l", "r").agg(F.first("gl").alias("gl"), F.first("gr").alias("gr"))
+    return pairs.select("l", "r", (n / (F.size("gl") + F.size("gr") - n)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def within(a: Column, b: Column, most: int) -> Column:
@@ -32,26 +46,49 @@ def within(a: Column, b: Column, most: int) -> Column:
     return F.levenshtein(a, b, most).between(0, most)
 
 
-def deletions(c: Column) -> Column:
-    """Distinct strings that arise from deleting up to two characters."""
+def _segment(n: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of even parts of n characters, the longer ones last."""
+    whole, longer = F.floor(n / parts), n % parts
+    before = F.greatest(i - (F.lit(parts) - longer), F.lit(0))
+    return (i * whole + before).cast("int"), (whole + F.when(i >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
+
+
+def own_segments(c: Column, most: int = 2) -> Column:
+    """Keys (n, i, part) of a string: it is cut into one part more than there may be edits, so one of them stays as it is."""
+    n = F.length(c)
+
+    def key(i: Column) -> Column:
+        start, size = _segment(n, i, most + 1)
+        return F.struct(n.alias("n"), i.alias("i"), F.substr(c, start + 1, size).alias("part"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), key)
+
+
+def probe_segments(c: Column, most: int = 2) -> Column:
+    """Keys under which strings within `most` edits of c have a part: for each of their lengths and parts, what c has there, moved by as many places at most."""
+    m = F.length(c)
+
+    def of_part(n: Column, i: Column) -> Column:
+        start, size = _segment(n, i, most + 1)
+        places = F.filter(F.sequence(start - most, start + most), lambda p: (p >= 0) & (p + size <= m))
+        return F.transform(places, lambda p: F.struct(n.alias("n"), i.alias("i"), F.substr(c, p + 1, size).alias("part")))
 
-    def one(s: Column) -> Column:
-        n = F.length(s)
-        return F.when(n == 0, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1))))
+    def of_length(n: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: of_part(n, i)))
 
-    return F.array_distinct(F.concat(F.array(c), one(c), F.flatten(F.transform(one(c), one))))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(m - most, F.lit(0)), m + most), of_length)))
 
 
-def edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, distance) at edit distance 0 to 2, over (id, value) frames.
+def edit_pairs(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
+    """(l, r, distance) at edit distance 0 to `most`, over (id, value) frames; null values are near nothing.
 
-    Two strings within two edits share a string that both become by up to two deletions, so an equi-join on those finds all
-    candidates and no cross join is needed.
+    Candidates come from an equi-join on parts of strings (three a string on one side, at most 75 on the other, whatever their
+    length), so no cross join is needed.
     """
-    a = left.select(F.col("id").alias("l"), F.col("value").alias("vl"), F.explode(deletions(F.col("value"))).alias("k"))
-    b = right.select(F.col("id").alias("r"), F.col("value").alias("vr"), F.explode(deletions(F.col("value"))).alias("k"))
-    pairs = a.join(b, "k").select("l", "r", "vl", "vr").distinct()
-    return pairs.filter(within(F.col("vl"), F.col("vr"), 2)).select("l", "r", F.levenshtein("vl", "vr").alias("distance"))
+    a = left.select(F.col("id").alias("l"), F.col("value").alias("vl"), F.explode(probe_segments(F.col("value"), most)).alias("k"))
+    b = right.select(F.col("id").alias("r"), F.col("value").alias("vr"), F.explode(own_segments(F.col("value"), most)).alias("k"))
+    pairs = a.join(b, "k").filter(within(F.col("vl"), F.col("vr"), most)).select("l", "r", "vl", "vr").distinct()
+    return pairs.select("l", "r", F.levenshtein("vl", "vr").alias("distance"))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

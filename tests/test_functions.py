@@ -108,3 +108,36 @@ def test_edit_pairs_find_all(spark):
         return out
 
     assert got == {(a, b): lev(a, b) for a in words for b in words if lev(a, b) <= 2}
+
+
+def test_edit_pairs_and_trigram_pairs_against_all_pairs(spark):
+    import random
+
+    r = random.Random(7)
+    words = {"".join(r.choice("abcกé") for _ in range(r.randrange(0, 14))) for _ in range(60)} | {"", "a", "the same long word " * 3}
+    for w in list(words)[:40]:  # edited ones
+        x = list(w)
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.randrange(2)] = r.choice(["", "b", "z"])
+        words.add("".join(x))
+    words = sorted(words)
+    df = spark.createDataFrame([(w, w) for w in words] + [(None, None)], "id string, value string")
+    got = {(x.l, x.r): x.distance for x in similarity.edit_pairs(df, df).collect()}
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            old, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(old[j] + (x != y), old[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    assert got == {(a, b): lev(a, b) for a in words for b in words if lev(a, b) <= 2}
+    keys = df.filter("value IS NOT NULL").select(F.length("value").alias("n"), F.size(similarity.own_segments(F.col("value"))).alias("own"), F.size(similarity.probe_segments(F.col("value"))).alias("probe")).collect()
+    assert all(x.own == 3 and x.probe <= 75 for x in keys)
+
+    grams = {x.value: set(x.g) for x in df.filter("value IS NOT NULL").select("value", similarity.trigrams(F.col("value")).alias("g")).collect()}
+    want = {(a, b): len(g & h) / len(g | h) for a, g in grams.items() for b, h in grams.items() if g & h and len(g & h) / len(g | h) >= 0.3}
+    close = {(x.l, x.r): x.similarity for x in similarity.trigram_pairs(df, df).collect()}
+    assert close.keys() == want.keys() and all(abs(close[k] - want[k]) < 1e-12 for k in want)
