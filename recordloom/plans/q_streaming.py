@@ -8,7 +8,7 @@ from recordloom.plans.registry import query
 from recordloom.session import scratch_path
 from recordloom.sources.readers import table
 from recordloom.streaming import ingest as ing
-from recordloom.streaming import queue, state
+from recordloom.streaming import landing, queue, state
 
 
 def _attempts(e):
@@ -80,6 +80,14 @@ def daily_counts_stream(spark, d):
     return got.select(F.date_format(F.col("window")["start"], "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def _uploads(spark, d):
+    """Fifty different files, each uploaded by many customers."""
+    k = F.col("c_custkey") % 50
+    conf = F.when(F.col("c_custkey") % 2 == 0, "0.9").otherwise("0.5")
+    body = F.concat(F.lit('{"fields": {"full_name": "a b'), k, F.lit('", "tel": "08'), F.lpad(k.cast("string"), 8, "1"), F.lit('", "plate": "1กก'), k, F.lit('"}, "confidence": {"name": '), conf, F.lit("}}"))
+    return table(spark, d, "customer").select(F.col("c_name").alias("path"), F.encode(body, "UTF-8").alias("content"), k.alias("k"))
+
+
 @query("""
     WITH f AS (SELECT c_custkey % 50 AS k, min(c_name) AS path, '08' || lpad(CAST(c_custkey % 50 AS VARCHAR), 8, '1') AS tel FROM customer WHERE c_custkey % 50 <> 7 GROUP BY ALL)
     SELECT sha256(CAST(encode('{"fields": {"full_name": "a b' || k || '", "tel": "' || tel || '", "plate": "1กก' || k || '"}, "confidence": {"name": ' || CASE WHEN k % 2 = 0 THEN '0.9' ELSE '0.5' END || '}}') AS BLOB)) AS sha256,
@@ -88,10 +96,7 @@ def daily_counts_stream(spark, d):
     FROM f""")
 def ingest_batch(spark, d):
     """S10, S12, U03, T06, T07, A11, K01 with the stub extractor: a batch with repeats, of which some are stored already, beside open records with a fifth of the plates."""
-    k = F.col("c_custkey") % 50
-    conf = F.when(F.col("c_custkey") % 2 == 0, "0.9").otherwise("0.5")
-    body = F.concat(F.lit('{"fields": {"full_name": "a b'), k, F.lit('", "tel": "08'), F.lpad(k.cast("string"), 8, "1"), F.lit('", "plate": "1กก'), k, F.lit('"}, "confidence": {"name": '), conf, F.lit("}}"))
-    files = table(spark, d, "customer").select(F.col("c_name").alias("path"), F.encode(body, "UTF-8").alias("content"), k.alias("k")).withColumn("sha256", F.sha2("content", 256))
+    files = _uploads(spark, d).withColumn("sha256", F.sha2("content", 256))
     known = files.filter("k = 7").select("sha256", F.lit("r7").alias("record"), F.lit(0).alias("created")).distinct()
     stored = files.filter("k % 10 IN (3, 4)").select(F.concat(F.lit("1กก"), "k").alias("plate_norm"), F.lit("").alias("tel_digits"))
     records, _ = ing.ingest(files, known, ing.StubExtractor(), 2026, stored=stored)
@@ -122,3 +127,20 @@ def queue_claims_stream(spark, d):
         stream = spark.readStream.schema(queue_commands(e).schema).parquet(landing)
         got = queue.drain_queue(queue.queue_stream(stream), path)
     return got
+
+
+@query("""
+    WITH f AS (SELECT c_custkey % 50 AS k, min(c_name) AS path, '08' || lpad(CAST(c_custkey % 50 AS VARCHAR), 8, '1') AS tel FROM customer GROUP BY ALL)
+    SELECT 'a b' || k AS name_norm, (SELECT count(*) FROM f g WHERE g.tel = f.tel AND g.path < f.path) AS twins,
+           concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM f g WHERE g.tel = f.tel AND g.path < f.path) THEN 'duplicate_suspect' END, CASE WHEN k % 2 = 1 THEN 'low_confidence' END) AS reasons
+    FROM f""")
+def landing_exactly_once(spark, d):
+    """Uploads that land in two spans, each ingested by a run that goes on from the last one's commits."""
+    folder, store = scratch_path(spark, "landing-ingest"), None
+    files, n = _uploads(spark, d).drop("k"), table(spark, d, "customer").count()
+    edges = [None, f"Customer#{n // 2:09}", None]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        part = files.filter((F.col("path") >= low if low else F.lit(True)) & (F.col("path") < high if high else F.lit(True)))
+        part.write.mode("append").parquet(f"{folder}/landing")
+        store = landing.run(spark.readStream.schema(files.schema).parquet(f"{folder}/landing"), folder, ing.StubExtractor(), 2026)
+    return store.table("records").select("name_norm", F.col("duplicates").cast("bigint").alias("twins"), F.array_join("review_reason", ",").alias("reasons"))

@@ -180,20 +180,20 @@ def count_open(records: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def ingest(
-    files: DataFrame, known: DataFrame, extractor: Extractor, as_of_year: int, preprocessor: Preprocessor | None = None, stored: DataFrame | None = None, calls: int = CALLS
+    files: DataFrame, known: DataFrame, extractor: Extractor, as_of_year: int, preprocessor: Preprocessor | None = None, stored: DataFrame | None = None, calls: int = CALLS, once: Callable[[DataFrame], DataFrame] = cut
 ) -> tuple[DataFrame, DataFrame]:
     """(records, skipped) of a batch of files (path, content, sha256).
 
     known: sha256, record, created of images that are stored.  A file whose hash is stored, or that stands behind an equal one
     in the batch, is skipped and never reaches the model; one whose read failed gives no record either, and its error is in `skipped`.
     stored: plate_norm, tel_digits of records that are open and not rejected; who shares either is a suspect, as is a file
-    whose processed image is known or was read earlier in the batch.  Reads are written once, so no later step pays for them again.
+    whose processed image is known or was read earlier in the batch.  `once` writes the reads, so no later step pays for them again.
     """
     first = duplicates.first_wins(files.select("path", "sha256"), "sha256", [F.asc("path")])
     gate = duplicates.hash_gate(first, known, "sha256", "created", "record")
     skipped = gate.filter((F.col("pos") > 1) | F.col("holder").isNotNull()).select("path", "sha256", "holder", F.lit(None).cast("string").alias("error"))
     fresh = files.join(gate.filter((F.col("pos") == 1) & F.col("holder").isNull()).select("path"), "path", "left_semi")
-    read = cut(extract(fresh, extractor, preprocessor, calls)).join(gate.filter("pos = 1").select("sha256", "path"), "sha256")
+    read = once(extract(fresh, extractor, preprocessor, calls)).join(gate.filter("pos = 1").select("sha256", "path"), "sha256")
     failed = read.filter(F.col("error").isNotNull()).select("path", "sha256", F.lit(None).cast("string").alias("holder"), "error")
     r = read.filter(F.col("error").isNull()).withColumn("fields", rules.canonical_fields(F.col("fields")))
     got = {k: F.try_element_at("fields", F.lit(k)) for k in rules.FIELDS}
