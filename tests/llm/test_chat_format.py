@@ -110,3 +110,42 @@ def test_the_query_links_calls(spark, tmp_path):
 
 def test_empty(spark):
     assert C.link(spark.createDataFrame([], SCHEMA), TOOLS).count() == 0
+
+
+def test_malformed_elements_escaped_keys_and_texts(spark):
+    rows = [
+        (1, 0, "assistant", json.dumps({"tool_calls": [1, _call("p"), None, "x", _call("q", nested=True), {"id": 7, "name": ["no"]}]}), "k"),
+        (1, 1, "tool", _result("p", "r"), "k"),
+        (1, 2, "tool", '{"\\u0074ool_call_id": "q", "content": "say \\"r\\""}', "k"),
+        (2, 0, "assistant", '{"\\u0074ool_c\\u0061lls": [{"id": "z", "name": "add", "arguments": {"a": 1, "b": 2}}]}', "k"),
+        (2, 1, "user", "an escape \\u0041 in words, and {\\u0041", "k"),
+    ]
+    got = {(x.conv_id, x.turn): x for x in C.link(spark.createDataFrame(rows, SCHEMA), TOOLS).collect()}
+    assert (got[1, 0].kind, got[1, 0].n_calls, got[1, 0].n_answered, got[1, 0].n_invalid) == ("calls", 6, 2, 4)
+    assert got[1, 1].linked and json.loads(got[1, 1].message)["content"] == "r"
+    assert got[1, 2].linked and json.loads(got[1, 2].message) == {"content": 'say "r"', "role": "tool", "tool_call_id": "q"}
+    assert (got[2, 0].kind, got[2, 0].n_calls, got[2, 0].n_invalid) == ("calls", 1, 0) and got[2, 1].kind == "message"
+
+
+def test_chains_and_rings(spark):
+    both = lambda of, *ids: json.dumps({"tool_call_id": of, "tool_calls": [_call(i) for i in ids]})
+    rows = [
+        (1, 1, "tool", _result("c"), "k"), (1, 2, "assistant", both("b", "c"), "k"), (1, 3, "assistant", both("a", "b"), "k"), (1, 9, "assistant", _calls(_call("a")), "k"), (1, 12, "tool", _result("b"), "k"),
+        (2, 1, "assistant", both("y", "x"), "k"), (2, 2, "assistant", both("x", "y"), "k"), (2, 3, "tool", _result("x"), "k"),
+    ]
+    got = {(x.conv_id, x.turn): x for x in C.link(spark.createDataFrame(rows, SCHEMA), TOOLS).collect()}
+    key = lambda t: (got[1, t].order_turn, got[1, t].order_rank, t)
+    assert key(9) < key(3) < key(2) < key(1) < key(12) and got[1, 12].mark == "repeated"
+    assert [(got[2, t].order_turn, got[2, t].order_rank, got[2, t].mark) for t in (1, 2)] == [(1, 0, "cyclic"), (2, 0, "cyclic")]
+
+
+def test_nested_schemas(spark):
+    tools = {"make": (["kind"], {"kind": {"type": "string", "enum": ["a", "b"]}, "tags": {"type": "array", "items": {"type": "string", "enum": ["x", "y"]}}, "size": {"type": "object", "required": ["w"], "properties": {"w": "integer", "unit": {"enum": [1, "cm", None]}}}})}
+    cases = [
+        ({"kind": "a"}, []), ({"kind": "c"}, ["enum:kind"]), ({"kind": 1}, ["type:kind"]), ({"kind": "a", "tags": ["x", "y"]}, []), ({"kind": "a", "tags": ["x", 1]}, ["items:tags"]), ({"kind": "a", "tags": "x"}, ["type:tags"]),
+        ({"kind": "b", "size": {"w": 1, "unit": "cm"}}, []), ({"kind": "b", "size": {"unit": "m"}}, ["enum:size.unit", "missing:size.w"]), ({"kind": "b", "size": {"w": "1", "unit": None}}, ["type:size.w"]), ({"kind": "b", "size": 3}, ["type:size"]), ({"tags": []}, ["missing:kind"]),
+    ]
+    rows = [(1, i, "assistant", _calls(_call(f"c{i}", "make", a)), "k") for i, (a, _) in enumerate(cases)]
+    turns = spark.createDataFrame(rows, SCHEMA).selectExpr("conv_id AS conv", "turn AS row", "role", "text")
+    got = {x.row: list(x.problems) for x in C.calls_of(turns, tools).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
