@@ -36,13 +36,6 @@ def candidates(edges: DataFrame) -> DataFrame:
     return shared_keys(edges).select("id").distinct()
 
 
-def same_record_pairs(edges: DataFrame) -> DataFrame:
-    """Ordered pairs that share a key.  One equi-join on (family, key) instead of an OR of keys."""
-    e = shared_keys(edges).select("family", "key", "id")
-    a, b = e.withColumnRenamed("id", "a"), e.withColumnRenamed("id", "b")
-    return a.join(b, ["family", "key"]).filter("a < b").select("a", "b").distinct()
-
-
 def groups(edges: DataFrame) -> DataFrame:
     """Id and component of records that are linked by shared keys.
 

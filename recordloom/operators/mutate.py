@@ -6,7 +6,7 @@ commands.  `as_of` stands for the time of the change (K18).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,15 @@ def insert(state: DataFrame, rows: DataFrame) -> DataFrame:
     return state.unionByName(rows, allowMissingColumns=True)
 
 
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key: a fold that starts where the rows are, so a key of many rows is no task of its own."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first")
+    return rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(first).select("_first.*")
+
+
 def insert_ignore(state: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Append the first row of each key that the state does not hold."""
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+    first = first_of(rows, keys, [order])
     return state.unionByName(first.join(state.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
 
 
@@ -28,7 +34,7 @@ def replace(state: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_command(commands: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first command of each key wins."""
-    return commands.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+    return first_of(commands, [key], order)
 
 
 def guarded(state: DataFrame, commands: DataFrame, key: str, order: list[str], guard: Column, changes: dict[str, Column], as_of: Column | None = None) -> DataFrame:
@@ -42,11 +48,12 @@ def guarded(state: DataFrame, commands: DataFrame, key: str, order: list[str], g
 
 
 def audit_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """A row per changed field: key, field, old_value, new_value.  Null, empty and zero count as equal to each other only as empty."""
-    a = old.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([key], fields, "field", "old_value")
-    b = new.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([key], fields, "field", "new_value")
-    empty = F.lit("")
-    return a.join(b, [key, "field"]).filter(F.coalesce("old_value", empty) != F.coalesce("new_value", empty))
+    """A row per changed field: key, field, old_value, new_value; null counts as empty.  One join on the key; only changed fields become rows."""
+    side = lambda df, name: df.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(name))
+    both = side(old, "_old").join(side(new, "_new"), key)
+    pairs = [F.struct(F.lit(f).alias("field"), F.col("_old")[f].alias("old_value"), F.col("_new")[f].alias("new_value")) for f in fields]
+    changed = F.filter(F.array(*pairs), lambda p: F.coalesce(p["old_value"], F.lit("")) != F.coalesce(p["new_value"], F.lit("")))
+    return both.select(key, F.explode(changed).alias("c")).select(key, "c.*")
 
 
 def delete(state: DataFrame, ids: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]], pointer: str | None = None) -> dict[str, DataFrame]:
