@@ -1,14 +1,16 @@
 """A leased work queue as two stateful stages over a stream of commands, in which no task holds a whole queue.
 
 1. Items are dealt to shards of their queue by the hash of their name.  A shard keeps its items in keyed state: the first ones in a
-   short sorted front, the others one by one in a map, from which the front is refilled.  For each batch it offers those
-   items to the tournament that can come to the head of the queue before the batch ends.
-2. The tournament of a queue keeps the claims only, one a worker at most, and runs the batch's commands in their order over what
-   the shards have offered.
+   short sorted front, the others one by one in a map, from which the front is refilled.  For each batch it runs its own adds and
+   dones in their order and offers those items to the tournament that come to its head in it.
+2. The tournament of a queue keeps the claims only, one a worker at most, and runs the batch's claims in their order over what
+   the shards have offered: logarithmic time a command, by a heap of free items and one of leases.  Adds that no claim of the
+   batch can meet give their row in a lane beside it.
 
-What a shard has to offer: an item comes to its head only when all before it are done or claimed.  So many are done in the batch
-as it has such commands for the shard; so many are claimed as there are workers whose lease may run, or who ask in this batch.
-The front of that length, one more, and what is added or named in the batch decide every claim exactly.
+What a shard has to offer: so many items are claimed as there are workers whose lease may run, or who ask in this batch, so a
+claim meets one of the first items of a shard, that many and one more.  Those that stand there at some time of the batch, and
+those that it names, decide every claim exactly.  For that a shard has to know the workers only: claims are dealt to all
+shards by worker, from each Arrow batch once.
 
 A lease is over by the time of the command that looks at it, so claims need no timer; they are dropped with their worker's next
 command, or when their lease has run out before a batch begins.
@@ -28,6 +30,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -37,7 +41,8 @@ SHARDS = 8
 #: Items that a front holds at least after it is refilled; from four times as many, half of it goes back to the map.
 FRONT = 64
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_OFFERS = "queue string, kind string, seq long, at double, command string, worker string, item string, later boolean"
+_DEALT = "queue string, seq long, at double, command string, worker string, item string, urgent boolean, shard int, mine boolean, since double"
+_OFFERS = "queue string, lane int, kind string, seq long, at double, command string, worker string, item string, later boolean"
 _OUT = "queue string, seq long, worker string, item string"
 
 
@@ -46,29 +51,65 @@ class QueueFold:
 
     def __init__(self, items: dict[str, tuple[bool, float]] | None = None, claims: dict[str, tuple[str, float]] | None = None, lease: float = LEASE):
         self.items, self.claims, self.lease = items or {}, claims or {}, lease
+        # Entries of items that are gone or have another place are passed over when they come up; claimed ones are then set aside.
+        self.free = [(*key, i) for i, key in self.items.items()]
+        self.leases = [(at, i, w) for i, (w, at) in self.claims.items()]
+        heapq.heapify(self.free)
+        heapq.heapify(self.leases)
+        self.aside: set[str] = set()
+        self.held: dict[str, set[str]] = {}
+        for i, (w, _) in self.claims.items():
+            self.held.setdefault(w, set()).add(i)
+
+    def _back(self, item: str) -> None:
+        if item in self.aside:
+            self.aside.remove(item)
+            heapq.heappush(self.free, (*self.items[item], item))
+
+    def _claim(self, worker: str, at: float, item: str) -> str:
+        self.claims[item] = (worker, at)
+        self.held.setdefault(worker, set()).add(item)
+        heapq.heappush(self.leases, (at, item, worker))
+        return item
+
+    def _next(self, at: float) -> str | None:
+        """The first item that no lease holds."""
+        while self.leases and self.leases[0][0] + self.lease <= at:
+            since, item, worker = heapq.heappop(self.leases)
+            if self.claims.get(item) == (worker, since):
+                self._back(item)
+        while self.free:
+            later, since, item = heapq.heappop(self.free)
+            if self.items.get(item) == (later, since) and item not in self.aside:
+                self.aside.add(item)
+                claim = self.claims.get(item)
+                if claim is None or claim[1] + self.lease <= at:
+                    return item
+        return None
 
     def step(self, at: float, command: str, worker: str, item: str, urgent: bool = False) -> str | None:
         """The item that the worker now holds, or its holder if claim_one fails."""
         if command == "add":
             self.items[item] = (not urgent, at)
+            self.aside.discard(item)
+            heapq.heappush(self.free, (not urgent, at, item))
             return None
         if command == "done":
             self.items.pop(item, None)
             self.claims.pop(item, None)
+            self.aside.discard(item)
             return None
         holder = self.claims.get(item)
         if command == "claim_one" and holder and holder[0] != worker and holder[1] + self.lease > at:
             return holder[0]
-        self.claims = {i: c for i, c in self.claims.items() if c[0] != worker}
+        for i in self.held.pop(worker, ()):
+            if i in self.claims and self.claims[i][0] == worker:
+                del self.claims[i]
+                self._back(i)
         if command == "claim_one" and item in self.items:
-            self.claims[item] = (worker, at)
-            return item
-        if command == "claim_next":
-            free = [i for i in self.items if i not in self.claims or self.claims[i][1] + self.lease <= at]
-            if free:
-                item = min(free, key=lambda i: (*self.items[i], i))
-                self.claims[item] = (worker, at)
-                return item
+            return self._claim(worker, at, item)
+        if command == "claim_next" and (found := self._next(at)) is not None:
+            return self._claim(worker, at, found)
         return None
 
 
@@ -76,7 +117,7 @@ class ShardItems:
     """Items of one shard: front (sorted, kept as one value) and rest (a map with get, put, pop, all)."""
 
     def __init__(self, front: list[tuple[bool, float, str]], rest: Any):
-        self.front, self.rest = front, rest
+        self.front, self.rest, self.room = front, rest, FRONT
         self.of = {item: (later, at, item) for later, at, item in front}
 
     def get(self, item: str) -> tuple[bool, float, str] | None:
@@ -88,48 +129,101 @@ class ShardItems:
         else:
             self.rest.pop(item)
 
+    def place(self, item: str) -> int | None:
+        """Where the item stands in the front."""
+        return bisect_left(self.front, key) if (key := self.of.get(item)) else None
+
     def add(self, item: str, later: bool, at: float) -> None:
-        self.remove(item)
+        if old := self.of.pop(item, None):
+            del self.front[bisect_left(self.front, old)]
         key = (later, at, item)
-        if (self.front and key < self.front[-1]) or self.rest.empty():
+        if (ahead := bool(self.front) and key < self.front[-1]) or self.rest.empty():
+            if ahead and not old:
+                self.rest.pop(item)
             insort(self.front, key)
             self.of[item] = key
-            if len(self.front) > 4 * FRONT:
-                for later, at, item in self.front[2 * FRONT :]:
+            if len(self.front) > 4 * self.room:
+                for later, at, item in self.front[2 * self.room :]:
                     self.rest.put(item, (later, at))
                     del self.of[item]
-                del self.front[2 * FRONT :]
+                del self.front[2 * self.room :]
         else:
             self.rest.put(item, (later, at))
 
     def first(self, n: int) -> list[tuple[bool, float, str]]:
         """The first n items; the front is refilled by one pass over the rest when it is too short."""
         if len(self.front) < n and not self.rest.empty():
-            for later, at, item in heapq.nsmallest(n - len(self.front) + FRONT, self.rest.all()):
+            for later, at, item in heapq.nsmallest(n - len(self.front) + self.room, self.rest.all()):
                 self.rest.pop(item)
                 self.front.append((later, at, item))
                 self.of[item] = (later, at, item)
         return self.front[:n]
 
 
+def offers(items: ShardItems, changes: Iterator[tuple[bool, str, bool, float]], depth: int, named: set[str]) -> tuple[dict[str, tuple[bool, float, str]], set[str]]:
+    """Run the changes (add, item, later, at) in their order.
+
+    Gives the items from before them that a claim may meet: those named, and those that come among the first `depth`; and all
+    items, added ones too, whose changes such a claim depends on.
+    """
+    offered, met, added = {}, set(named), set()
+    items.room = max(items.room, depth)
+
+    def fill() -> None:
+        if len(items.front) < depth and not items.rest.empty():
+            items.first(depth)
+            items.room *= 2  # so the passes over the rest are few, however much of it a batch uses up
+
+    def enter(key: tuple[bool, float, str]) -> None:
+        met.add(key[2])
+        if key[2] not in added:
+            offered[key[2]] = key
+
+    for item in named:
+        if found := items.get(item):
+            offered[item] = found
+    fill()
+    for key in items.front[:depth]:
+        enter(key)
+    for add, item, later, at in changes:
+        before = items.place(item)
+        if add:
+            items.add(item, later, at)
+            added.add(item)
+        else:
+            items.remove(item)
+        if not depth:
+            continue
+        fill()
+        if before is not None and before < depth <= len(items.front):
+            enter(items.front[depth - 1])
+        if add and (now := items.place(item)) is not None and now < depth:
+            met.add(item)
+    return offered, met
+
+
 class _Rest:
-    """The map of a shard in keyed state."""
+    """The map of a shard in keyed state; each call of the state is a message to the JVM."""
 
     def __init__(self, state):
-        self.state = state
+        self.state, self.none = state, None
 
     def get(self, item: str) -> tuple[bool, float] | None:
         return tuple(self.state.getValue((item,))) if self.state.containsKey((item,)) else None
 
     def put(self, item: str, value: tuple[bool, float]) -> None:
         self.state.updateValue((item,), value)
+        self.none = False
 
     def pop(self, item: str) -> None:
-        if self.state.containsKey((item,)):
+        if self.none is not True:
             self.state.removeKey((item,))
+            self.none = None
 
     def empty(self) -> bool:
-        return not self.state.exists()
+        if self.none is None:
+            self.none = not self.state.exists()
+        return self.none
 
     def all(self) -> Iterator[tuple[bool, float, str]]:
         return ((bool(v[0]), float(v[1]), k[0]) for k, v in self.state.iterator())
@@ -147,41 +241,35 @@ class Shard(StatefulProcessor):
         self.workers = handle.getMapState("workers", "worker string", "at double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
+        batch = pd.concat(list(rows))
         items = ShardItems([tuple(x) for x in json.loads(self.front.get()[0])] if self.front.exists() else [], _Rest(self.rest))
-        begin = float(batch["at"].min())
-        live = {k[0] for k, v in self.workers.iterator() if v[0] + self.lease > begin}
-        for old in [k[0] for k, _ in self.workers.iterator() if k[0] not in live]:
+        begin = float(batch.since.min())
+        known = {k[0]: v[0] for k, v in self.workers.iterator()}
+        live = {w for w, at in known.items() if at + self.lease > begin}
+        for old in known.keys() - live:
             self.workers.removeKey((old,))
         claiming = batch[batch.command.isin(["claim_next", "claim_one"])]
         last = claiming.groupby("worker")["at"].max()
         live |= set(last.index)
         for worker, at in last.items():
             self.workers.updateValue((worker,), (float(at),))
-        offered: dict[str, tuple[bool, float, str]] = {}
-        if (batch.command == "claim_next").any():
-            offered = {x[2]: x for x in items.first(len(live) + int((batch.command == "done").sum()) + 1)}
-        for item in batch[batch.command == "claim_one"].item:
-            if found := items.get(item):
-                offered[item] = found
-        for row in batch[batch.command.isin(["add", "done"])].itertuples():
-            if row.command == "add":
-                items.add(row.item, not row.urgent, float(row.at_))
-            else:
-                items.remove(row.item)
+        own = batch[batch.mine].sort_values(["at", "seq"])
+        changes = own[own.command.isin(["add", "done"])]
+        depth = len(live) + 1 if (claiming.command == "claim_next").any() else 0
+        offered, met = offers(items, zip(changes.command == "add", changes.item, ~changes.urgent.astype(bool), changes["at"].astype(float), strict=True), depth, set(own.item[own.command == "claim_one"]))
         self.front.update((json.dumps(items.front),))
-        own = batch[batch.mine]
-        yield pd.DataFrame({"queue": key[0], "kind": "command", "seq": own.seq, "at": own["at"], "command": own.command, "worker": own.worker, "item": own.item, "later": ~own.urgent.astype(bool)})
+        lane = ((own.command == "add") & ~own.item.isin(met)) * (key[1] + 1)
+        yield pd.DataFrame({"queue": key[0], "lane": lane, "kind": "command", "seq": own.seq, "at": own["at"], "command": own.command, "worker": own.worker, "item": own.item, "later": ~own.urgent.astype(bool)})
         if offered:
             later, at, item = zip(*offered.values(), strict=True)
-            yield pd.DataFrame({"queue": key[0], "kind": "offer", "seq": 0, "at": at, "command": "", "worker": "", "item": item, "later": later})
+            yield pd.DataFrame({"queue": key[0], "lane": 0, "kind": "offer", "seq": 0, "at": at, "command": "", "worker": "", "item": item, "later": later})
 
     def close(self) -> None:
         pass
 
 
 class Tournament(StatefulProcessor):
-    """Stage 2, by queue."""
+    """Stage 2, by (queue, lane): claims run in lane 0, rows of the others pass."""
 
     def __init__(self, lease: float = LEASE):
         self.lease = lease
@@ -190,6 +278,10 @@ class Tournament(StatefulProcessor):
         self.claims = handle.getMapState("claims", "item string", "worker string, at double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if key[1]:
+            for part in rows:
+                yield part[["queue", "seq", "worker"]].assign(item=pd.Series(None, index=part.index, dtype=object))
+            return
         every = pd.concat(list(rows))
         commands = every[every.kind == "command"].sort_values(["at", "seq"])
         offers = every[every.kind == "offer"]
@@ -212,13 +304,27 @@ def queue_stream(commands: DataFrame, shards: int = SHARDS, lease: float = LEASE
     """queue, seq, worker, item: what each command gave.  The stream must be started under `PROVIDER` (see `drain_queue`)."""
     named = commands.select("queue", "seq", F.col("at").cast("double").alias("at"), "command", *[F.coalesce(c, F.lit("")).alias(c) for c in ("worker", "item")], F.coalesce("urgent", F.lit(False)).alias("urgent"))
     own = F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")
-    # Claims reach every shard of the queue, as each may hold its head; only one passes a command on.
-    to = F.when(F.col("command").isin("add", "done"), F.array(own)).otherwise(F.sequence(F.lit(0), F.lit(shards - 1)))
-    home = F.when(F.col("command") == "claim_next", 0).when(F.col("command") == "release", 0).otherwise(own)
-    dealt = named.withColumn("home", home).withColumn("shard", F.explode(to)).withColumn("mine", F.col("shard") == F.col("home")).drop("home")
-    dealt = dealt.withColumn("at_", F.col("at"))
-    offers = dealt.groupBy("queue", "shard").transformWithStateInPandas(Shard(lease), _OFFERS, "Append", "None")
-    return offers.groupBy("queue").transformWithStateInPandas(Tournament(lease), _OUT, "Append", "None")
+    home = F.when(F.col("command").isin("claim_next", "release"), 0).otherwise(own)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each command to its shard; and to every shard, as it may hold the head, who claims, from when and until when."""
+        for b in batches:
+            b = b.append_column("mine", pa.array([True] * len(b), pa.bool_())).append_column("since", b.column("at"))
+            yield b
+            t = pa.Table.from_batches([b])
+            asks = t.filter(pc.is_in(t["command"], pa.array(["claim_next", "claim_one"]))).group_by(["queue", "worker", "command"]).aggregate([("at", "max"), ("at", "min")])
+            n = len(asks) * shards
+            if n:
+                wide = pa.concat_tables([asks] * shards)
+                column = {
+                    "queue": wide["queue"], "seq": pa.array([0] * n, pa.int64()), "at": wide["at_max"], "command": wide["command"], "worker": wide["worker"], "item": pa.array([""] * n), "urgent": pa.array([False] * n),
+                    "shard": pa.array([k for k in range(shards) for _ in range(len(asks))], pa.int32()), "mine": pa.array([False] * n), "since": wide["at_min"],
+                }
+                yield from pa.table({c: column[c] for c in b.schema.names}).cast(b.schema).combine_chunks().to_batches()
+
+    dealt = named.withColumn("shard", home).mapInArrow(deal, _DEALT)
+    offered = dealt.groupBy("queue", "shard").transformWithStateInPandas(Shard(lease), _OFFERS, "Append", "None")
+    return offered.groupBy("queue", "lane").transformWithStateInPandas(Tournament(lease), _OUT, "Append", "None")
 
 
 def drain_queue(stream: DataFrame, path: str) -> DataFrame:

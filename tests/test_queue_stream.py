@@ -1,6 +1,7 @@
 """The sharded queue against one ordered fold of each queue."""
 
 import random
+import time
 
 import pytest
 
@@ -73,3 +74,64 @@ def test_front_and_rest(seed, monkeypatch):
         assert items.get(item) == ((*plain[item], item) if item in plain else None)
         most = max(most, len(items.front))
     assert most <= 13 and len(rest) + len(items.front) == len(plain)
+
+
+class _PlainFold(Q.QueueFold):
+    """The rule as it is read: all items are looked through for each claim."""
+
+    def step(self, at, command, worker, item, urgent=False):
+        if command == "add":
+            self.items[item] = (not urgent, at)
+        elif command == "done":
+            self.items.pop(item, None)
+            self.claims.pop(item, None)
+        else:
+            holder = self.claims.get(item)
+            if command == "claim_one" and holder and holder[0] != worker and holder[1] + self.lease > at:
+                return holder[0]
+            self.claims = {i: c for i, c in self.claims.items() if c[0] != worker}
+            free = [i for i in self.items if i not in self.claims or self.claims[i][1] + self.lease <= at] if command == "claim_next" else [item] if command == "claim_one" and item in self.items else []
+            if free:
+                item = min(free, key=lambda i: (*self.items[i], i))
+                self.claims[item] = (worker, at)
+                return item
+        return None
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fold_against_the_plain_rule(seed):
+    fold, plain = Q.QueueFold(), _PlainFold()
+    for _, _, at, command, worker, item, urgent in sorted(_commands(seed, 1500), key=lambda x: (x[2], x[1])):
+        assert fold.step(at, command, worker, item or "", urgent) == plain.step(at, command, worker, item or "", urgent)
+        assert fold.claims == plain.claims and fold.items == plain.items
+
+
+def test_claims_do_not_look_through_all_items():
+    n = 30_000
+    fold, begin = Q.QueueFold({f"i{i:06}": (True, float(i)) for i in range(n)}), time.process_time()
+    got = [fold.step(n + i / 100, "claim_next", f"w{i % 1000}", "") for i in range(n)]
+    assert got[:1000] == [f"i{i:06}" for i in range(1000)] and None not in got
+    assert time.process_time() - begin < 20
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_offers_decide_every_claim(seed, monkeypatch):
+    """Batches of one shard: what is offered and met gives the claims that all items give, and dones of other items offer nothing."""
+    monkeypatch.setattr(Q, "FRONT", 2)
+    commands = sorted((c for c in _commands(seed, 1200) if c[0] == "a"), key=lambda x: (x[2], x[1]))
+    plain, claims, front, rest = _PlainFold(), {}, [], _Rest()
+    for k in range(0, len(commands), 70):
+        batch = commands[k : k + 70]
+        items = Q.ShardItems(front, rest)
+        changes = [(c[3] == "add", c[5], not c[6], c[2]) for c in batch if c[3] in ("add", "done")]
+        offered, met = Q.offers(items, iter(changes), 7, {c[5] for c in batch if c[3] == "claim_one"})
+        front, fold = items.front, Q.QueueFold({i: x[:2] for i, x in offered.items()}, claims)
+        for _, _, at, command, worker, item, urgent in batch:
+            want = plain.step(at, command, worker, item or "", urgent)
+            if command != "add" or item in met:
+                assert fold.step(at, command, worker, item or "", urgent) == want
+        claims = fold.claims
+        assert claims == plain.claims
+    items = Q.ShardItems([], _Rest({f"i{i:04}": (True, float(i)) for i in range(1000)}))
+    offered, met = Q.offers(items, iter([(False, f"none{i}", False, 0.0) for i in range(500)]), 3, set())
+    assert len(offered) == 3 and len(items.front) <= 10
