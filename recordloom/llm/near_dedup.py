@@ -6,8 +6,9 @@
    frequencies come from a pass over all classes that folds hashed counters (two rows of 2**20, about twelve times as
    many as there can be frequent shingles); only counters over the threshold, a bounded number, reach the workers.
    With `sources`, near copies count once for what they share, so a group of any size does not lessen its own links:
-   among a sample of about SOURCE_SAMPLE classes, those of similarity SOURCE or more are one source, and the frequency of
-   a shingle is multiplied by its sources over its classes there.  Every class is still compared with full weights.
+   all classes that have a frequent shingle are linked as in step 4, at similarity SOURCE and without idf; a component of
+   these links is one source, and the frequency of a shingle is the number of sources that have it.  Every class is still
+   compared with full weights.
 3. A signature has BANDS * ROWS consistent weighted samples (Ioffe's improved scheme; the random variables of an
    element come from fixed tables that its hash indexes, and are compared by rank).  A sample of two texts is equal with
    the probability of their weighted Jaccard similarity; at 0.8 the chance that no band agrees is (1 - 0.8**4)**18 = 8e-5.
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import KeyFilter, bound_batches, join_hot
-from recordloom.llm.shingling import mix, release, shingle, slices
+from recordloom.llm.shingling import Shingled, mix, release, shingle, slices
 from recordloom.operators.graph import connected_components
 from recordloom.session import cut, parts_of, scratch_path
 
@@ -50,8 +51,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 18, 4
 RARE_SHARE, RARE_DOCS, IDF_FLOOR = 0.05, 20, 0.1
 SKETCH_LOG2, SKETCH_ROWS = 20, 2
-#: Similarity from which texts repeat one source; classes of the sample, and the shingles of each that judge it.
-SOURCE, SOURCE_SAMPLE, SOURCE_SHINGLES = 0.5, 2_000, 128
+#: Similarity from which texts repeat one source, and equal samples (of 72) from which that is looked at.
+SOURCE, SOURCE_AGREE = 0.5, 20
 #: Members and shingles of a block that is compared exactly in memory (16 bytes a shingle, and about as many for the text).
 MAX_OPEN, MAX_OPEN_SHINGLES = 4096, 3_000_000
 #: Members of a block that is compared by samples: few while they are dealt in FEW_PARTS parts at most, then up to MAX_BLOCK.
@@ -164,39 +165,48 @@ def document_frequencies(classes: DataFrame, n_docs: int, text_col: str = "text"
 
 
 def once_per_source(classes: DataFrame, idf: Idf, key_col: str = "digest", text_col: str = "text") -> Idf:
-    """idf with near copies counted once for what they share."""
-    most = max(len(x) for x in idf.slots)
-    if not most:
+    """idf with near copies counted once for what they share, over all classes that have a frequent counter."""
+    if not any(len(x) for x in idf.slots):
         return idf
-    want = min(SOURCE_SAMPLE, max(200, 4_000_000 // most))
-    share = F.pmod(F.xxhash64(F.lit("source"), key_col), F.lit(1 << 20)) < min(1 << 20, -(-(want << 20) // idf.n_docs))
+    spark, texts = classes.sparkSession, classes.select(F.col(key_col).alias("digest"), F.col(text_col).alias("text"))
+    plain = Idf(idf.n_docs, [np.zeros(0, np.int64)] * SKETCH_ROWS, [np.zeros(0)] * SKETCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, part in slices(b.column(0)):
-                x, low, held = shingle(part), [], []
-                for i in range(len(x)):
-                    s = x.hashes[x.one(i)]
-                    has = [np.flatnonzero(np.isin(slots, own)).astype(np.int32) for own, slots in zip(_slots(s), idf.slots, strict=True)]
-                    if any(len(h) for h in has):
-                        low.append(s[:SOURCE_SHINGLES].tobytes())
-                        held.append([h.tobytes() for h in has])
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(held, pa.list_(pa.binary()))], ["low", "held"])
-
-    some = classes.filter(share).select(F.col(text_col).alias("t")).mapInArrow(run, "low binary, held array<binary>").toPandas()
-    if not len(some):
-        return idf
-    sets = [(x := np.frombuffer(b, _U), np.ones(len(x))) for b in some.low]
-    label = np.arange(len(sets))
-    for i, j in block_links(label, sets, SOURCE):
-        label = np.where(label == label[i], label[j], label)
-    counts = []
-    for r, (slots, n) in enumerate(zip(idf.slots, idf.counts, strict=True)):
-        held = [np.frombuffer(x[r], np.int32) for x in some.held]
-        at, of = np.concatenate(held).astype(np.int64), np.repeat(label, [len(x) for x in held])
-        texts = np.bincount(at, minlength=len(slots))
-        sources = np.bincount(np.unique(at * len(sets) + of) // len(sets), minlength=len(slots))
-        counts.append(n * np.where(texts > 0, sources / np.maximum(texts, 1), 1.0))
+            for i, part in slices(b.column(1)):
+                x = shingle(part)
+                # The counters that each text has, each once: a row's number and the place among its frequent slots.
+                of, codes = [], []
+                text = np.repeat(np.arange(len(x)), np.diff(x.at))
+                for r, (own, slots) in enumerate(zip(_slots(x.hashes), idf.slots, strict=True)):
+                    if len(slots):
+                        at = np.minimum(np.searchsorted(slots, own), len(slots) - 1)
+                        hit = slots[at] == own
+                        of.append(text[hit])
+                        codes.append(at[hit] | r << SKETCH_LOG2)
+                pairs = np.unique(np.concatenate(of) << 32 | np.concatenate(codes))
+                has, begins = np.unique(pairs >> 32, return_index=True)
+                if len(has):
+                    some = shingle(part.take(pa.array(has)))
+                    held = pa.ListArray.from_arrays(pa.array(np.append(begins, len(pairs)).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)).take(pa.array(has)), *_signed(some, plain, some.at), pa.array(np.diff(some.at)), held], ["digest", "keys", "bits", "size", "held"])
+        release()
+
+    digest = texts.schema["digest"].dataType.simpleString()
+    sigs = cut(texts.mapInArrow(run, f"digest {digest}, keys array<bigint>, bits binary, size bigint, held array<int>").withColumn("no", F.monotonically_increasing_id()))
+    n = sigs.count()
+    few = parts_of(spark, n)
+    found = _star_links(_buckets(sigs, n), sigs, texts, plain, SOURCE, SOURCE_AGREE)
+    source = connected_components(found, "a", "b", few).withColumnRenamed("id", "no")
+    held = sigs.select("no", "held").join(source, "no", "left").select("component", F.explode("held").alias("code"))
+    alone = held.filter("component IS NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    shared = held.filter("component IS NOT NULL").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    # As many rows as there are frequent counters, which is bounded.
+    some = alone.unionByName(shared).groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    counts = [np.zeros(len(x)) for x in idf.slots]
+    for r in range(SKETCH_ROWS):
+        own = some.code.to_numpy() >> SKETCH_LOG2 == r
+        counts[r][some.code.to_numpy()[own] & ((1 << SKETCH_LOG2) - 1)] = some.n.to_numpy(np.float64)[own]
     return Idf(idf.n_docs, idf.slots, counts)
 
 
@@ -304,21 +314,25 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return rows, own, docs.sparkSession.read.schema("digest binary, text string").parquet(path)
 
 
+def _signed(x: Shingled, idf: Idf, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Keys and bits of the texts that begin at `at` (none is empty)."""
+    sig = _sampler().of_all(x.hashes, idf.weights(x.hashes, x.times), at)
+    keys = np.ascontiguousarray(band_keys(sig).T)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+    return lists, _binary_rows((mix(sig) >> _U(56)).astype(np.uint8).T)
+
+
 def signatures(classes: DataFrame, idf: Idf) -> DataFrame:
     """digest, keys (one of each band), bits (a byte of each sample) and size (shingles); texts without shingles have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler()
         for b in batches:
             for i, part in slices(b.column(1)):
                 x = shingle(part)
                 size = np.diff(x.at)
                 has = np.flatnonzero(size)
                 if len(has):
-                    sig = sampler.of_all(x.hashes, idf.weights(x.hashes, x.times), np.append(x.at[:-1][has], x.at[-1]))
-                    keys = np.ascontiguousarray(band_keys(sig).T)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                    bits = _binary_rows((mix(sig) >> _U(56)).astype(np.uint8).T)
+                    lists, bits = _signed(x, idf, np.append(x.at[:-1][has], x.at[-1]))
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)).take(pa.array(has)), lists, bits, pa.array(size[has])], ["digest", "keys", "bits", "size"])
         release()
 
@@ -332,7 +346,7 @@ def _texts_of(numbers: DataFrame, sigs: DataFrame, classes: DataFrame, parts: in
     return keys.maybe(classes.withColumn("k", F.xxhash64("digest")), "k").select("digest", "text").join(need, "digest").select("no", "text")
 
 
-def _close_enough(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _close_enough(pairs: DataFrame, sigs: DataFrame, least: int = MIN_AGREE) -> DataFrame:
     """Pairs whose samples agree often enough to be worth an exact comparison: at similarity 0.8, 58 of 72 do on average, and MIN_AGREE is over 4.5 standard deviations below that."""
 
     @F.pandas_udf("int")
@@ -344,7 +358,7 @@ def _close_enough(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     a, b = (sigs.select(F.col("no").alias(c), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    return both.withColumn("same", agree("bits_a", "bits_b")).filter(F.col("same") >= MIN_AGREE).select("a", "b")
+    return both.withColumn("same", agree("bits_a", "bits_b")).filter(F.col("same") >= least).select("a", "b")
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, classes: DataFrame, idf: Idf, threshold: float) -> DataFrame:
@@ -487,15 +501,26 @@ def _merge(labels: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     return cut(every.select("id", F.coalesce("to", "component").alias("component")), parts)
 
 
+def _buckets(sigs: DataFrame, n: int) -> DataFrame:
+    """no, size, key, leader (smallest number of the key) for the keys that several of the n signatures have."""
+    members = sigs.select("no", "size", F.explode("keys").alias("key"))
+    many = parts_of(sigs.sparkSession, BANDS * n)
+    groups = cut(members.groupBy("key").agg(F.min("no").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), many)
+    return cut(KeyFilter(groups, "key", groups.count()).maybe(members, "key").join(groups.select("key", "leader"), "key"), many)
+
+
+def _star_links(near: DataFrame, sigs: DataFrame, classes: DataFrame, idf: Idf, threshold: float, least: int = MIN_AGREE) -> DataFrame:
+    """a, b: verified links of the members of buckets with their leaders (step 4)."""
+    star = near.filter("no <> leader").select(F.col("leader").alias("a"), F.col("no").alias("b")).distinct()
+    return cut(verified(cut(_close_enough(star, sigs, least)), sigs, classes, idf, threshold).select("a", "b"))
+
+
 def components(sigs: DataFrame, classes: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """id, component of all numbers of classes that have a link (steps 4 and 5 above)."""
-    members = sigs.select("no", "size", F.explode("keys").alias("key"))
     n = sigs.count()
     few, many = parts_of(sigs.sparkSession, n), parts_of(sigs.sparkSession, BANDS * n)
-    groups = cut(members.groupBy("key").agg(F.min("no").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), many)
-    near = cut(KeyFilter(groups, "key", groups.count()).maybe(members, "key").join(groups.select("key", "leader"), "key"), many)
-    star = near.filter("no <> leader").select(F.col("leader").alias("a"), F.col("no").alias("b")).distinct()
-    found = cut(verified(cut(_close_enough(star, sigs)), sigs, classes, idf, threshold).select("a", "b"))
+    near = _buckets(sigs, n)
+    found = _star_links(near, sigs, classes, idf, threshold)
     labels = connected_components(found, "a", "b", few)
     of = near.join(labels.withColumnRenamed("id", "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")

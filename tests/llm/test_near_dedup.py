@@ -98,6 +98,22 @@ def test_a_group_of_a_third_of_the_texts_keeps_its_links(spark, tmp_path):
     assert (idf.weights(s, tf) < 0.7).all()
 
 
+def test_sources_are_counted_over_all_classes(spark):
+    """A passage in 300 near copies of one text and in 300 texts else has 301 sources."""
+    r = np.random.default_rng(22)
+    base, passage = _text(r, 100), _text(r, 12)
+    texts = [" ".join(_edited(r, base, 1) + passage) for _ in range(300)] + [" ".join(_text(r, 30) + passage) for _ in range(300)] + [" ".join(_text(r, 10)) for _ in range(5_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "digest long, text string")
+    before = N.document_frequencies(docs, len(texts))
+    s, _ = N.shingles(" ".join(passage))
+
+    def df(idf):
+        return np.min([np.where(np.isin(own, x), n[np.minimum(np.searchsorted(x, own), len(x) - 1)], 0) for own, x, n in zip(N._slots(s), idf.slots, idf.counts, strict=True)], 0)
+
+    assert (df(before) >= 600).all()
+    assert (df(N.once_per_source(docs, before)) == 301).mean() > 0.7
+
+
 def test_collisions_follow_the_similarity():
     r = np.random.default_rng(2)
     sampler = N.Sampler(samples=2000, seed=3)
