@@ -1,7 +1,10 @@
 """Fuzzy search: every row held against the few texts that a user types, then ranked by the similarity of its best field.
 
-The texts are joined as a broadcast by a condition that no key expresses, so the join reads each row once and shuffles none;
+The texts are joined as a broadcast by a condition that no key expresses, so the join reads each row once, dealt out by id;
 their number has a bound, beyond which they are asked in several calls.  `ngram_index` leaves out whole files before that.
+
+Common subsequences are costly, so each candidate first gets a score that it cannot exceed, from the numbers of its characters.
+The best rows by that are scored; those that cannot come up to the last of them are not in the result and are left out.
 """
 
 from __future__ import annotations
@@ -12,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import similarity, subsequence, text
+from recordloom.session import scratch_path
 
 FIELDS = ("name", "plate", "brand")
 #: What is held against what, by field.
 PAIRS = {"tel": ("q_tel", "tel_digits"), "plate": ("q_plate", "plate_norm"), "name": ("q_name", "name_norm"), "brand": ("q_brand", "brand_norm")}
+#: Kept above a bound, so that rounding never puts it under the score.
+SLACK = 1e-6
 #: Texts of one call: they are broadcast, and each row is held against each.
 MAX_TEXTS = 1_000
 
@@ -44,9 +50,11 @@ def search(rows: DataFrame, texts: list[str], top: int = 20, threshold: float =
     unless pending ones are asked for.  A row is a candidate by the similarity of 3-grams (at the threshold), by contained
     digits, or by a phone or plate within two edits.  Unlike the record system, no unordered cap cuts the candidates.
     """
-    q = F.broadcast(asked(rows.sparkSession, texts).withColumns({f"qg_{f}": similarity.trigrams(F.coalesce(f"q_{f}", F.lit(""))) for f in FIELDS}))
+    q = F.broadcast(asked(rows.sparkSession, texts).withColumns({f"qg_{f}": similarity.trigrams(F.coalesce(f"q_{f}", F.lit(""))) for f in FIELDS}).withColumns({f"qc_{f}": subsequence.counted(F.coalesce(c, F.lit(""))) for f, (c, _) in PAIRS.items()}))
     if not include_pending:
         rows = rows.filter("review_status = 'approved'")
+    # A small file of many rows is one task's, so rows are dealt out before they are held against the texts.
+    rows = rows.select("id", *(b for _, b in PAIRS.values()), "stored", "created").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     own = rows.withColumns({f"g_{f}": similarity.trigrams(F.coalesce(f"{f}_norm", F.lit(""))) for f in FIELDS})
 
     def alike(f: str):
@@ -59,23 +67,42 @@ def search(rows: DataFrame, texts: list[str], top: int = 20, threshold: float =
     hit = alike("name") | alike("plate") | alike("brand") | ((F.col("q_tel") != "") & F.contains("tel_digits", "q_tel")) | edited("q_tel", "tel_digits") | edited("q_plate", "plate_norm")
     both = own.join(q, F.coalesce(hit, F.lit(False)))
 
-    # Candidates gather where alike records stand, so they are dealt out anew before the costly part.
-    columns = [*(c for pair in PAIRS.values() for c in pair), "q", "kind", "id", "stored", "created"]
-    dealt = both.select(*columns).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
     def scores(fields: list[str], score) -> list:
         """One expression over the pairs of the fields; a pair with an empty side scores 0."""
         pairs = F.array(*[F.struct(F.coalesce(PAIRS[f][0], F.lit("")).alias("a"), F.coalesce(PAIRS[f][1], F.lit("")).alias("b")) for f in fields])
         return F.transform(pairs, lambda p: F.when((p["a"] == "") | (p["b"] == ""), 0.0).otherwise(score(p["a"], p["b"])))
 
-    scored = dealt.withColumn("parts", scores(["name", "brand"], subsequence.partial_ratio)).withColumn("wholes", scores(["tel", "plate"], subsequence.ratio))
-    scored = scored.withColumn("sets", scores(["name"], subsequence.token_set_ratio))
-    of = {
-        "tel": F.when((F.col("q_tel") != "") & F.contains("tel_digits", "q_tel"), 100.0).otherwise(F.get("wholes", F.lit(0))),
-        "plate": F.get("wholes", F.lit(1)),
-        "name": F.greatest(F.get("sets", F.lit(0)), F.get("parts", F.lit(0))),
-        "brand": F.get("parts", F.lit(1)),
+    def ranked(df: DataFrame) -> DataFrame:
+        # Candidates gather where alike records stand, so they are dealt out anew before the costly part.
+        dealt = df.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        scored = dealt.withColumn("parts", scores(["name", "brand"], subsequence.partial_ratio)).withColumn("wholes", scores(["tel", "plate"], subsequence.ratio))
+        scored = scored.withColumn("sets", scores(["name"], subsequence.token_set_ratio))
+        of = {
+            "tel": F.when(held, 100.0).otherwise(F.get("wholes", F.lit(0))),
+            "plate": F.get("wholes", F.lit(1)),
+            "name": F.greatest(F.get("sets", F.lit(0)), F.get("parts", F.lit(0))),
+            "brand": F.get("parts", F.lit(1)),
+        }
+        return scored.select("*", similarity.best_field(F.col("kind"), of).alias("best")).select("q", "id", "best.*", "stored", "created")
+
+    def most(f: str, score):
+        a, b = (F.coalesce(c, F.lit("")) for c in PAIRS[f])
+        return F.when((a == "") | (b == ""), 0.0).otherwise(score(F.col(f"qc_{f}"), a, b) + SLACK)
+
+    held = (F.col("q_tel") != "") & F.contains("tel_digits", "q_tel")
+    limits = {
+        "tel": F.when(held, 100.0 + SLACK).otherwise(most("tel", subsequence.most_ratio)),
+        "plate": most("plate", subsequence.most_ratio),
+        "name": F.greatest(most("name", subsequence.most_token_set_ratio), most("name", subsequence.most_partial_ratio)),
+        "brand": most("brand", subsequence.most_partial_ratio),
     }
-    scored = scored.select("*", similarity.best_field(F.col("kind"), of).alias("best")).select("q", "id", "best.*", "stored", "created")
+    columns = [*(c for pair in PAIRS.values() for c in pair), "q", "kind", "id", "stored", "created"]
+    bounded = both.select(*columns, similarity.best_field(F.col("kind"), limits)["score"].alias("most"))
+    path = scratch_path(rows.sparkSession, "candidates")
+    bounded.write.parquet(path)
+    candidates = rows.sparkSession.read.schema(bounded.schema).parquet(path)
+    first = candidates.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("most"), "id"))).filter(F.col("n") <= top).drop("n")
+    least = ranked(first).groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top).drop("n")
+    scored = ranked(candidates.join(F.broadcast(least), "q", "left").filter(F.col("least").isNull() | (F.col("most") >= F.col("least"))))
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("stored"), F.desc("created"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("q", "rank", "id", "score", "match_on")
