@@ -7,8 +7,9 @@
    many as there can be frequent shingles); only counters over the threshold, a bounded number, reach the workers.
    With `sources`, near copies count once for what they share, so a group of any size does not lessen its own links:
    all classes that have a frequent shingle are linked as in step 4, at similarity SOURCE and without idf; a component of
-   these links is one source, and the frequency of a shingle is the number of sources that have it.  Every class is still
-   compared with full weights.
+   these links is one source, and the frequency of a shingle is the number of sources that have it.  The members of a
+   component in one part of the table are folded before they are shuffled, so that a component of any size sends each
+   shingle once from there.  Every class is still compared with full weights.
 3. A signature has BANDS * ROWS consistent weighted samples (Ioffe's improved scheme; the random variables of an
    element come from fixed tables that its hash indexes, and are compared by rank).  A sample of two texts is equal with
    the probability of their weighted Jaccard similarity; at 0.8 the chance that no band agrees is (1 - 0.8**4)**18 = 8e-5.
@@ -39,6 +40,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,8 @@ RARE_SHARE, RARE_DOCS, IDF_FLOOR = 0.05, 20, 0.1
 SKETCH_LOG2, SKETCH_ROWS = 20, 2
 #: Similarity from which texts repeat one source, and equal samples (of 72) from which that is looked at.
 SOURCE, SOURCE_AGREE = 0.5, 20
+#: Frequent shingles of members that are folded at once.
+FOLDED = 1 << 20
 #: Members and shingles of a block that is compared exactly in memory (16 bytes a shingle, and about as many for the text).
 MAX_OPEN, MAX_OPEN_SHINGLES = 4096, 3_000_000
 #: Members of a block that is compared by samples: few while they are dealt in FEW_PARTS parts at most, then up to MAX_BLOCK.
@@ -164,18 +168,88 @@ def document_frequencies(classes: DataFrame, n_docs: int, text_col: str = "text"
     return idf
 
 
+def _held(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Components and codes, one pair for each code, of rows (component, held)."""
+    size = pc.list_value_length(b.column("held")).to_numpy(zero_copy_only=False)
+    return np.repeat(b.column("component").to_numpy(zero_copy_only=False), size), b.column("held").flatten().to_numpy()
+
+
+def _pairs_once(components: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The components in order; and the pairs, each once and in order, as places among them and codes."""
+    names, at = np.unique(components, return_inverse=True)
+    pairs = np.unique(at.astype(np.int64) << 32 | codes)
+    return names, pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int32)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (component, held) with those of one component as one that has each code once; FOLDED codes are kept at a time."""
+    parts, n = [], 0
+
+    def out(names: np.ndarray, at: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(names), 1_000):
+            lo, hi = np.searchsorted(at, [i, i + 1_000])
+            begins = np.searchsorted(at[lo:hi], np.arange(i, min(i + 1_000, len(names)) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 1_000]), pa.ListArray.from_arrays(pa.array(begins), pa.array(codes[lo:hi]))], ["component", "held"])
+
+    for b in batches:
+        parts.append(_held(b))
+        n += len(parts[-1][1])
+        if n > FOLDED:
+            names, at, codes = _pairs_once(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            parts, n = [(names[at], codes)], len(codes)
+            if n > FOLDED // 2:
+                yield from out(names, at, codes)
+                parts, n = [], 0
+    if n:
+        yield from out(*_pairs_once(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+
+
+def source_counts(of: DataFrame, size: int) -> DataFrame:
+    """code, n: how many components have each code from 0 to size - 1, from rows (component, held: distinct codes); rows without a component count as one each."""
+
+    def sums(n: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["code", "n"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
+        yield sums(n)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Components come in order, so only the last one of a batch may go on."""
+        n, last, open_ = np.zeros(size, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        for b in batches:
+            components, codes = _held(b)
+            names, at, codes = _pairs_once(np.concatenate([last, components]), np.concatenate([open_, codes]))
+            done = at < len(names) - 1
+            n += np.bincount(codes[done], minlength=size)
+            open_ = codes[~done]
+            last = np.repeat(names[-1:], len(open_))
+        n[open_] += 1
+        yield sums(n)
+
+    alone = of.filter("component IS NULL").select("held").mapInArrow(each, "code int, n bigint")
+    folded = of.filter("component IS NOT NULL").select("component", "held").mapInArrow(_folded, "component bigint, held array<int>")
+    shared = folded.repartition("component").sortWithinPartitions("component").mapInArrow(once, "code int, n bigint")
+    return alone.unionByName(shared).groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def once_per_source(classes: DataFrame, idf: Idf, key_col: str = "digest", text_col: str = "text") -> Idf:
     """idf with near copies counted once for what they share, over all classes that have a frequent counter."""
     if not any(len(x) for x in idf.slots):
         return idf
     spark, texts = classes.sparkSession, classes.select(F.col(key_col).alias("digest"), F.col(text_col).alias("text"))
     plain = Idf(idf.n_docs, [np.zeros(0, np.int64)] * SKETCH_ROWS, [np.zeros(0)] * SKETCH_ROWS)
+    # A frequent counter's code is its place among those of all rows.
+    begin = np.cumsum([0, *map(len, idf.slots)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, part in slices(b.column(1)):
                 x = shingle(part)
-                # The counters that each text has, each once: a row's number and the place among its frequent slots.
+                # The counters that each text has, each once: a row's number and the counter's code.
                 of, codes = [], []
                 text = np.repeat(np.arange(len(x)), np.diff(x.at))
                 for r, (own, slots) in enumerate(zip(_slots(x.hashes), idf.slots, strict=True)):
@@ -183,7 +257,7 @@ def once_per_source(classes: DataFrame, idf: Idf, key_col: str = "digest", text_
                         at = np.minimum(np.searchsorted(slots, own), len(slots) - 1)
                         hit = slots[at] == own
                         of.append(text[hit])
-                        codes.append(at[hit] | r << SKETCH_LOG2)
+                        codes.append(at[hit] + begin[r])
                 pairs = np.unique(np.concatenate(of) << 32 | np.concatenate(codes))
                 has, begins = np.unique(pairs >> 32, return_index=True)
                 if len(has):
@@ -198,15 +272,12 @@ def once_per_source(classes: DataFrame, idf: Idf, key_col: str = "digest", text_
     few = parts_of(spark, n)
     found = _star_links(_buckets(sigs, n), sigs, texts, plain, SOURCE, SOURCE_AGREE)
     source = connected_components(found, "a", "b", few).withColumnRenamed("id", "no")
-    held = sigs.select("no", "held").join(source, "no", "left").select("component", F.explode("held").alias("code"))
-    alone = held.filter("component IS NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    shared = held.filter("component IS NOT NULL").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    of = sigs.select("no", "held").join(source, "no", "left").select("component", "held")
     # As many rows as there are frequent counters, which is bounded.
-    some = alone.unionByName(shared).groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    counts = [np.zeros(len(x)) for x in idf.slots]
-    for r in range(SKETCH_ROWS):
-        own = some.code.to_numpy() >> SKETCH_LOG2 == r
-        counts[r][some.code.to_numpy()[own] & ((1 << SKETCH_LOG2) - 1)] = some.n.to_numpy(np.float64)[own]
+    some = source_counts(of, int(begin[-1])).toPandas()
+    n = np.zeros(begin[-1])
+    n[some.code.to_numpy()] = some.n.to_numpy()
+    counts = np.split(n, begin[1:-1])
     return Idf(idf.n_docs, idf.slots, counts)
 
 

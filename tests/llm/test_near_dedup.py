@@ -114,6 +114,28 @@ def test_sources_are_counted_over_all_classes(spark):
     assert (df(N.once_per_source(docs, before)) == 301).mean() > 0.7
 
 
+def test_members_of_a_source_are_folded_before_the_shuffle(spark, monkeypatch):
+    """A large group sends each code once from a part of the table, not once for each member; the counts are those of plain sets."""
+    r = np.random.default_rng(23)
+    rows = [(7, sorted(r.choice(50, 30, replace=False).tolist())) for _ in range(6_000)]
+    rows += [(int(c), sorted(r.choice(60, int(r.integers(1, 9)), replace=False).tolist())) for c in r.integers(8, 900, 2_000)]
+    rows += [(None, sorted(r.choice(60, 3, replace=False).tolist())) for _ in range(500)]
+    want = {}
+    for i, (c, held) in enumerate(rows):
+        for code in held:
+            want.setdefault(code, set()).add(-1 - i if c is None else c)
+    want = {code: len(x) for code, x in want.items()}
+    of = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], "component bigint, held array<int>").repartition(4)
+    for most in (N.FOLDED, 1_000):
+        monkeypatch.setattr(N, "FOLDED", most)
+        assert {x.code: x.n for x in N.source_counts(of, 60).collect()} == want
+    monkeypatch.undo()
+    sent = of.filter("component = 7").mapInArrow(N._folded, "component bigint, held array<int>").collect()
+    assert len(sent) <= 4 and all(len(x.held) == len(set(x.held)) == 50 for x in sent)
+    plan = N.source_counts(of, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_collisions_follow_the_similarity():
     r = np.random.default_rng(2)
     sampler = N.Sampler(samples=2000, seed=3)
