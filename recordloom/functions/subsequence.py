@@ -161,16 +161,16 @@ def most_ratio(of: Column, a: Column, b: Column) -> Column:
     return F.when(F.length(a) + F.length(b) == 0, 100.0).otherwise(200.0 * shared_characters(of, b) / (F.length(a) + F.length(b)))
 
 
-def most_partial_ratio(of: Column, a: Column, b: Column) -> Column:
-    """No less than partial_ratio(a, b): a window of w characters has no more than w of the shared ones, and best as many."""
+def most_partial_ratio(of: Column, a: Column, b: Column, shared: Column | None = None) -> Column:
+    """No less than partial_ratio(a, b): a window of w characters has no more than w of the shared ones, and best as many.  shared: their number, if known."""
     n = F.least(F.length(a), F.length(b))
-    return F.when(n == 0, 100.0).otherwise(bound(F.least(n, shared_characters(of, b)), lambda m: 200.0 * m / (n + m)))
+    return F.when(n == 0, 100.0).otherwise(bound(F.least(n, shared_characters(of, b) if shared is None else shared), lambda m: 200.0 * m / (n + m)))
 
 
-def most_token_set_ratio(of: Column, a: Column, b: Column) -> Column:
-    """No less than token_set_ratio(a, b): the rests share what the strings do beyond the words of both."""
+def most_token_set_ratio(of: Column, a: Column, b: Column, shared: Column | None = None) -> Column:
+    """No less than token_set_ratio(a, b): the rests share what the strings do beyond the words of both.  shared: the number of shared characters, if known."""
     blanks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    solid = shared_characters(F.filter(of, lambda x: x["c"] != " "), b)
+    solid = (shared_characters(of, b) if shared is None else shared) - F.least(blanks(a), blanks(b))
     return _token_set(a, b, lambda p: F.greatest(F.lit(0), F.least(F.length(p["a"]), F.length(p["b"]), solid - F.length(F.replace(p["both"], F.lit(" "), F.lit(""))) + F.least(blanks(p["a"]), blanks(p["b"])))))
 
 

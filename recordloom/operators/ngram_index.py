@@ -20,10 +20,13 @@ from __future__ import annotations
 import math
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from recordloom.operators import search as fuzzy
 LONGEST = 3
 #: Kept files beyond which the folder is read whole: the search is not selective then.
 MAX_PATHS = 20_000
+#: Distinct grams that a task of `update` keeps before it gives them out.
+KEPT = 2_000_000
 
 
 @dataclass
@@ -64,6 +69,59 @@ def plain_grams(s: str, n: int) -> set[str]:
     return {s[i : i + n] for i in range(len(s) - n + 1)}
 
 
+def distinct_grams(texts: list[str], n: int) -> np.ndarray:
+    """The distinct n-grams of the texts, each as one number: code points of 21 bits one behind the other."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(points) < n:
+        return np.zeros(0, np.uint64)
+    packed = points[: len(points) - n + 1].copy()
+    for i in range(1, n):
+        packed = packed << np.uint64(21) | points[i : len(points) - n + 1 + i]
+    # A gram ends within the text that it begins in.
+    inside = np.arange(len(packed)) + n <= np.repeat(np.cumsum(size), size)[: len(packed)]
+    return np.unique(packed[inside])
+
+
+def unpacked(grams: np.ndarray, n: int) -> list[str]:
+    points = np.stack([grams >> np.uint64(21 * (n - 1 - i)) & np.uint64((1 << 21) - 1) for i in range(n)], 1)
+    s = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [s[i : i + n] for i in range(0, len(s), n)]
+
+
+def padded(words: str) -> list[str]:
+    """Each of the words, which are a line each, with two blanks before and one behind."""
+    return [f"  {w} " for w in words.split("\n")] if words else []
+
+
+def file_grams(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """kind, column, gram, file of rows (file, a text for each of kinds), distinct in a task but for what is given out on the way at KEPT grams."""
+    kept: dict[tuple[str, int, int], np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (file, i, n), grams in kept.items():
+            for k in range(0, len(grams), 100_000):
+                some = unpacked(grams[k : k + 100_000], n)
+                yield pa.RecordBatch.from_pydict({"kind": [kinds[i][0]] * len(some), "column": [kinds[i][1]] * len(some), "gram": some, "file": [file] * len(some)})
+        kept.clear()
+
+    for b in batches:
+        files = b.column(0).to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.append(True, files[1:] != files[:-1])) if len(files) else []
+        for lo, hi in zip(begins, [*begins[1:], len(files)], strict=True):
+            for i, (kind, _) in enumerate(kinds):
+                texts = b.column(i + 1).slice(lo, hi - lo).to_pylist()
+                if kind == "word":
+                    texts = [w for t in texts for w in padded(t)]
+                for n in [LONGEST] if kind == "word" else range(1, LONGEST + 1):
+                    key = (files[lo], i, n)
+                    new = distinct_grams(texts, n)
+                    kept[key] = np.union1d(kept[key], new) if key in kept else new
+        if sum(map(len, kept.values())) > KEPT:
+            yield from out()
+    yield from out()
+
+
 def sure(grams: set[str]) -> set[str]:
     """Grams that stand in any text around them: how a capital sigma is lower-cased depends on its neighbours."""
     return {g for g in grams if not {"σ", "ς"} & set(g)}
@@ -127,20 +185,15 @@ class NgramIndex:
             return []
         rows = self.spark.read.parquet(*new.values()).withColumn("file", F.col("_metadata.file_name"))
 
-        def plain(c: str):
-            s = F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
-            of = lambda n: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-            return F.array_distinct(F.concat(*[of(n) for n in range(1, LONGEST + 1)]))
-
-        sets = [("word", c, similarity.trigrams(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in self.words] + [("plain", c, plain(c)) for c in self.plains]
-
-        def tagged(kind: str, column: str, grams):
-            return F.transform(grams, lambda g: F.struct(F.lit(kind).alias("kind"), F.lit(column).alias("column"), g.alias("gram")))
-
-        grams = rows.select("file", F.explode(F.flatten(F.array(*[tagged(*x) for x in sets]))).alias("g")).select("g.*", "file").distinct()
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        # Lower case and words are the search's own; cutting into grams is all that the tasks' arrays do.
+        texts = [F.array_join(similarity.words(text(c)), "\n") for c in self.words] + [F.lower(text(c)) for c in self.plains]
+        kinds = [("word", c) for c in self.words] + [("plain", c) for c in self.plains]
+        cells = rows.select("file", *[t.alias(f"t{i}") for i, t in enumerate(texts)])
+        grams = cells.mapInArrow(partial(file_grams, kinds=kinds), "kind string, column string, gram string, file string").distinct()
         bucketed = grams.withColumn("bucket", F.pmod(F.hash("gram"), F.lit(self.buckets)))
         bucketed.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(self.postings_folder)
-        size = {c: F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in self.plains}
+        size = {c: F.length(text(c)) for c in self.plains}
         lengths = [f(F.when(n > 0, n)).alias(f"{k}_{c}") for c, n in size.items() for k, f in (("least", F.min), ("most", F.max))]
         rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), *lengths).write.mode("append").parquet(self.files_folder)
         return sorted(new)

@@ -4,7 +4,8 @@ The texts are joined as a broadcast by a condition that no key expresses, so the
 their number has a bound, beyond which they are asked in several calls.  `ngram_index` leaves out whole files before that.
 
 Common subsequences are costly, so each candidate first gets a score that it cannot exceed, from the numbers of its characters.
-The best rows by that are scored; those that cannot come up to the last of them are not in the result and are left out.
+The best rows by that, some times as many as are asked for, are scored; rows that cannot come up to the last of the best of
+these are not in the result and are left out, all others are scored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ FIELDS = ("name", "plate", "brand")
 PAIRS = {"tel": ("q_tel", "tel_digits"), "plate": ("q_plate", "plate_norm"), "name": ("q_name", "name_norm"), "brand": ("q_brand", "brand_norm")}
 #: Kept above a bound, so that rounding never puts it under the score.
 SLACK = 1e-6
+#: Rows that are scored for the first limit, for each row that is asked for: many have the same bound, so the best by it are not the best.
+FIRST = 20
 #: Texts of one call: they are broadcast, and each row is held against each.
 MAX_TEXTS = 1_000
 
@@ -58,13 +61,17 @@ def search(rows: DataFrame, texts: list[str], top: int = 20, threshold: float =
     own = rows.withColumns({f"g_{f}": similarity.trigrams(F.coalesce(f"{f}_norm", F.lit(""))) for f in FIELDS})
 
     def alike(f: str):
-        shared = F.size(F.array_intersect(f"qg_{f}", f"g_{f}"))
-        return (shared > 0) & (shared / (F.size(f"qg_{f}") + F.size(f"g_{f}") - shared) >= threshold)
+        # The sets are compared once, and only if their sizes allow it: `need` is the least number of shared grams that gives the threshold.
+        n = F.size(f"qg_{f}") + F.size(f"g_{f}")
+        least = F.greatest(F.lit(1), F.ceil(threshold / (1 + threshold) * n - 1e-9).cast("int"))
+        need = least + F.when(F.coalesce(F.try_divide(least, n - least) >= threshold, F.lit(False)), 0).otherwise(1)
+        return (need <= F.least(F.size(f"qg_{f}"), F.size(f"g_{f}"))) & (F.size(F.array_intersect(f"qg_{f}", f"g_{f}")) >= need)
 
     def edited(a: str, b: str):
         return (F.col(a) != "") & (F.col(b) != "") & similarity.within(F.col(a), F.col(b), 2)
 
-    hit = alike("name") | alike("plate") | alike("brand") | ((F.col("q_tel") != "") & F.contains("tel_digits", "q_tel")) | edited("q_tel", "tel_digits") | edited("q_plate", "plate_norm")
+    # The cheap parts first: the others are not looked at where one holds.
+    hit = ((F.col("q_tel") != "") & F.contains("tel_digits", "q_tel")) | edited("q_tel", "tel_digits") | edited("q_plate", "plate_norm") | alike("plate") | alike("brand") | alike("name")
     both = own.join(q, F.coalesce(hit, F.lit(False)))
 
     def scores(fields: list[str], score) -> list:
@@ -85,24 +92,36 @@ def search(rows: DataFrame, texts: list[str], top: int = 20, threshold: float =
         }
         return scored.select("*", similarity.best_field(F.col("kind"), of).alias("best")).select("q", "id", "best.*", "stored", "created")
 
+    held = (F.col("q_tel") != "") & F.contains("tel_digits", "q_tel")
+
     def most(f: str, score):
         a, b = (F.coalesce(c, F.lit("")) for c in PAIRS[f])
-        return F.when((a == "") | (b == ""), 0.0).otherwise(score(F.col(f"qc_{f}"), a, b) + SLACK)
-
-    held = (F.col("q_tel") != "") & F.contains("tel_digits", "q_tel")
-    limits = {
-        "tel": F.when(held, 100.0 + SLACK).otherwise(most("tel", subsequence.most_ratio)),
-        "plate": most("plate", subsequence.most_ratio),
-        "name": F.greatest(most("name", subsequence.most_token_set_ratio), most("name", subsequence.most_partial_ratio)),
-        "brand": most("brand", subsequence.most_partial_ratio),
+        return similarity.weight(F.col("kind"), f) * F.when((a == "") | (b == ""), 0.0).otherwise(score(F.col(f"qc_{f}"), a, b) + SLACK)
+
+    def length_ratio(_, a, b):
+        return 200.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+
+    shared = F.col("shared")
+    name = most("name", lambda of, a, b: F.greatest(subsequence.most_token_set_ratio(of, a, b, shared), subsequence.most_partial_ratio(of, a, b, shared)))
+    # Characters are counted only where the lengths let a field come over the name.
+    fields = {
+        "tel": (F.when(held, 0.0).otherwise(most("tel", length_ratio)), most("tel", subsequence.most_ratio)),
+        "plate": (most("plate", length_ratio), most("plate", subsequence.most_ratio)),
+        "brand": (most("brand", lambda *_: F.lit(100.0)), most("brand", subsequence.most_partial_ratio)),
     }
+    over = [F.when(easy > F.col("most_name"), limit).otherwise(0.0) for easy, limit in fields.values()]
+    over.append(F.when(held, similarity.weight(F.col("kind"), "tel") * (100.0 + SLACK)).otherwise(0.0))
     columns = [*(c for pair in PAIRS.values() for c in pair), "q", "kind", "id", "stored", "created"]
-    bounded = both.select(*columns, similarity.best_field(F.col("kind"), limits)["score"].alias("most"))
+    # Columns of their own, as expressions with lambdas are worked out anew wherever they stand.
+    named = both.withColumn("shared", subsequence.shared_characters(F.col("qc_name"), F.coalesce("name_norm", F.lit("")))).withColumn("most_name", name)
+    bounded = named.select(*columns, F.bround(F.greatest("most_name", *over), 1).alias("most"))
     path = scratch_path(rows.sparkSession, "candidates")
     bounded.write.parquet(path)
     candidates = rows.sparkSession.read.schema(bounded.schema).parquet(path)
-    first = candidates.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("most"), "id"))).filter(F.col("n") <= top).drop("n")
-    least = ranked(first).groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top).drop("n")
+    first = candidates.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("most"), "id"))).filter(F.col("n") <= FIRST * top).drop("n")
+    # The score of the top-th best of those: whatever cannot come up to it has that many rows before it.
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    least = ranked(first).select("q", "score", place.alias("n")).filter(F.col("n") == top).select("q", F.col("score").alias("least"))
     scored = ranked(candidates.join(F.broadcast(least), "q", "left").filter(F.col("least").isNull() | (F.col("most") >= F.col("least"))))
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("stored"), F.desc("created"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("q", "rank", "id", "score", "match_on")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.functions import similarity
 from recordloom.operators import filters
 from recordloom.operators import ngram_index as N
 from recordloom.operators.search import MAX_TEXTS, search
@@ -82,6 +83,33 @@ def test_search_box(spark, indexed):
     assert len(index.box({"name_norm": "dora jaidee"}).paths) < 8
 
 
+def test_grams_of_a_file_are_those_of_its_rows(spark, indexed, tmp_path, monkeypatch):
+    """Against plain Python and the search's own 3-grams, with blanks, line ends, signs and characters beyond 16 bits; also where a task gives its grams out in between."""
+    odd = [None, "", "a", " a  b", "x\ny z", "é-É", "😀a😀b", "กก1", "\0ab", "..", "ab\tab"]
+    rows = [(i, t, t, t, t, "approved", True, 1) for i, t in enumerate(odd)] + _rows(3, 60, 100)
+    for k, most in enumerate((N.KEPT, 1)):
+        index = _index(spark, str(tmp_path / str(k)), rows, 3)
+        own = index.spark.read.parquet(index.rows_folder).select("*", F.col("_metadata.file_name").alias("f")).collect()
+        want = set()
+        for x in own:
+            for c in index.plains:
+                t = (x[c] or "").lower()
+                want |= {("plain", c, g, x.f) for n in (1, 2, 3) for g in N.plain_grams(t, n)}
+        for c in index.words:
+            of = spark.read.parquet(index.rows_folder).select(F.col("_metadata.file_name").alias("f"), F.explode(similarity.trigrams(F.coalesce(c, F.lit("")))).alias("g"))
+            want |= {("word", c, x.g, x.f) for x in of.collect()}
+        monkeypatch.setattr(N, "KEPT", most)
+        index.update()
+        got = [(x.kind, x.column, x.gram, x.file) for x in spark.read.parquet(index.postings_folder).collect()]
+        assert len(got) == len(set(got)) and want == set(got)
+
+
+def test_distinct_grams():
+    for n in (1, 2, 3):
+        for texts in ([], [""], ["a"], ["", "ab", "", "abc", "😀\0b"], ["abab", "baba"]):
+            assert sorted(N.unpacked(N.distinct_grams(texts, n), n)) == sorted(set().union(*[N.plain_grams(t, n) for t in texts]))
+
+
 def test_updates(spark, tmp_path):
     folder = str(tmp_path)
     index = _index(spark, folder, _rows(2, 30), 3)
